@@ -234,7 +234,27 @@ class Scorer:
         return _sigmoid(top.astype(np.float64) + self.net.shift)
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 7) -> Network:
+def _fit(net: Network, words: list[str], picked: np.ndarray, target: np.ndarray, epochs: int, r: np.random.Generator) -> None:
+    """Adam over shuffled batches of windows; ids are places in ``words`` plus one."""
+    m = {k: np.zeros_like(v) for k, v in net.p.items()}
+    v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
+    t = 0
+    for _ in range(epochs):
+        order = r.permutation(len(picked))
+        for i in range(0, len(order), 64):
+            part = order[i : i + 64]
+            own, inverse = np.unique(picked[part], return_inverse=True)
+            if own[0] != 0:
+                own, inverse = np.concatenate(([0], own)), inverse + 1
+            g = net.step([words[k - 1] for k in own[1:]], inverse.reshape(len(part), WINDOW), target[part])
+            t += 1
+            for k in net.p:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v2[k] = 0.99 * v2[k] + 0.01 * g[k] ** 2
+                net.p[k] -= (0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+
+
+def train(rows: list[tuple[str, int]], epochs: int = 4, seed: int = 7) -> Network:
     """Fit on (text, label) rows. Rows of one label only give a constant score."""
     net, r = Network(seed), np.random.default_rng(seed)
     lists = [tokens(t) for t, _ in rows]
@@ -269,23 +289,20 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 7) -> Networ
         if not label:
             picked.append(ids[r.integers(len(ids))])
             target.append(0)
-    picked, target = np.array(picked), np.array(target, np.float32)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    t = 0
-    for _ in range(epochs):
-        order = r.permutation(len(picked))
-        for i in range(0, len(order), 64):
-            part = order[i : i + 64]
-            own, inverse = np.unique(picked[part], return_inverse=True)
-            if own[0] != 0:
-                own, inverse = np.concatenate(([0], own)), inverse + 1
-            g = net.step([words[k - 1] for k in own[1:]], inverse.reshape(len(part), WINDOW), target[part])
-            t += 1
-            for k in net.p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v2[k] = 0.99 * v2[k] + 0.01 * g[k] ** 2
-                net.p[k] -= (0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+    clean = [ws for ws, label in zip(lists, y.tolist(), strict=True) if not label]
+    for sweep in range(2):
+        _fit(net, words, np.array(picked), np.array(target, np.float32), epochs if not sweep else epochs // 2, r)
+        if not sweep:  # learn again with the windows of clean texts that score highest
+            scorer = Scorer(net)
+            for i in range(0, len(clean), 200):
+                part = clean[i : i + 200]
+                logit, owner = net.window_logits(scorer.ids(part), scorer.table)
+                own, _ = windows([np.array([row[w] for w in ws], np.int64) for ws in part])
+                order = np.lexsort((-logit, owner))
+                first = order[np.unique(owner[order], return_index=True)[1]]
+                hard = first[np.argsort(-logit[first], kind="stable")[: max(1, len(part) // 4)]]
+                picked += list(own[hard])
+                target += [0] * len(hard)
     # place the threshold where whole training texts are told apart best
     top = Scorer(net).scores([x for x, _ in rows])
     raw = np.log(np.clip(top, 1e-9, 1 - 1e-9) / (1 - np.clip(top, 1e-9, 1 - 1e-9)))
@@ -294,7 +311,10 @@ def train(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 7) -> Networ
     order = np.sort(raw[y == 1]), np.sort(raw[y == 0])
     right = (len(order[0]) - np.searchsorted(order[0], cuts)) / n1 + np.searchsorted(order[1], cuts) / n0
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    net.shift = -float(cuts[best[len(best) // 2]])
+    cut = float(cuts[best[len(best) // 2]])
+    low, high = np.quantile(raw[y == 0], 0.995), np.quantile(raw[y == 1], 0.01)
+    # clean texts far outnumber the sample, so their tail reaches beyond it
+    net.shift = -float(low + 0.75 * (high - low)) if low < high else -cut
     return net
 
 
