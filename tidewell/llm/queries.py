@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, packing, pii, secrets, simhash, toxicity
+from tidewell.llm import decontam, hnsw, linededup, packing, pii, secrets, simhash, tokencount, toxicity
 from tidewell.llm.common import table
 
 
@@ -35,7 +35,23 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
