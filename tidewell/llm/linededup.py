@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import staged
 
-#: Lines shorter than this skip the head-and-tail filter.
+#: Lines up to this long skip the head-and-tail filter (it serves from this length on).
 SHORT = 16
 #: Least characters in a chunk.
 CHUNK = 64
@@ -67,22 +67,22 @@ def _ends(lines: DataFrame) -> DataFrame:
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
-    """One row per line, length class N and chunk: what is in it and a key of all else."""
-    each = lines.select("*", F.expr("explode(array(n, n + 1))").alias("N")).withColumn("c", F.expr(f"greatest({CHUNK}, cast(ceil(sqrt(N)) as int))"))
-    each = each.select("*", F.expr("explode(sequence(0, (N - 1) div c))").alias("j")).withColumn("after", F.expr("N - least(c * (j + 1), N)"))
+    """One row per line, length class and chunk: what is in it and a key of all else."""
+    each = lines.select("*", F.expr("explode(array(n, n + 1))").alias("cls")).withColumn("c", F.expr(f"greatest({CHUNK}, cast(ceil(sqrt(cls)) as int))"))
+    each = each.select("*", F.expr("explode(sequence(0, (cls - 1) div c))").alias("j")).withColumn("after", F.expr("cls - least(c * (j + 1), cls)"))
     each = each.withColumns({"head": F.expr("substring(line, 1, c * j)"), "tail": F.expr("right(line, after)"), "mid": F.expr("substring(line, c * j + 1, n - c * j - after)")})
-    return each.withColumns({"k1": F.expr("xxhash64(N, j, head, tail)"), "k2": F.expr("xxhash64(tail, j, N, head)")}).select("h1", "h2", "pos", "n", "N", "mid", "k1", "k2")
+    return each.withColumns({"k1": F.expr("xxhash64(cls, j, head, tail)"), "k2": F.expr("xxhash64(tail, j, cls, head)")}).select("h1", "h2", "pos", "n", "cls", "mid", "k1", "k2")
 
 
 def _variants(chunks: DataFrame) -> DataFrame:
     """The deletion neighbourhood: v1, v2 are the hashed key, role is how the line has it."""
     without = "concat(substring(mid, 1, i), substring(mid, i + 2))"
-    places = chunks.where("n = N").select("*", F.expr("explode(case when length(mid) > 0 then sequence(0, length(mid) - 1) end)").alias("i")).withColumn("rest", F.expr(without))
+    places = chunks.where("n = cls").select("*", F.expr("explode(case when length(mid) > 0 then sequence(0, length(mid) - 1) end)").alias("i")).withColumn("rest", F.expr(without))
     key = lambda *x: {"v1": F.expr(f"xxhash64(k1, k2, {', '.join(x)})"), "v2": F.expr(f"xxhash64({', '.join(x)}, k2, k1)")}
     columns = ["h1", "h2", "pos", "v1", "v2", "role"]
     replaced = places.withColumns(key("i", "rest")).withColumn("role", F.lit("replaced")).select(columns)
     deleted = places.withColumns(key("-1", "rest")).withColumn("role", F.lit("deleted")).select(columns)
-    full = chunks.where("n = N - 1").withColumns(key("-1", "mid")).withColumn("role", F.lit("full")).select(columns)
+    full = chunks.where("n = cls - 1").withColumns(key("-1", "mid")).withColumn("role", F.lit("full")).select(columns)
     return replaced.unionByName(deleted).unionByName(full)
 
 
@@ -90,7 +90,7 @@ def _near(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     """h1, h2, near: of lines with an earlier other line within one edit, the earliest such."""
     ends = _ends(lines)
     sharing = ends.join(_two_members(ends, ["key"]), "key").select("h1", "h2").distinct()
-    chosen = first.join(sharing, ["h1", "h2"], "left_semi").unionByName(first.where(f"n < {SHORT}")).select("h1", "h2", "pos")
+    chosen = first.join(sharing, ["h1", "h2"], "left_semi").unionByName(first.where(f"n <= {SHORT}")).select("h1", "h2", "pos")
     wanted = chosen.groupBy(F.col("pos.doc_id").alias("wanted_id"), F.col("pos.th").alias("wanted_th")).agg(F.collect_list(F.struct("h1", "h2", "pos")).alias("wanted"))
     source = _identified(docs)
     texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["wanted_id"]) & (source["th"] == wanted["wanted_th"])).select(F.expr(_SPLIT).alias("all"), F.explode("wanted").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, hnsw, linededup, packing, pii, secrets, simhash, tokencount, toxicity
+from tidewell.llm import chat, decontam, hnsw, linededup, packing, pii, secrets, simhash, tokencount, toxicity
 from tidewell.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_chat_formatting": op5_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op2_decontamination": op2_decontamination,
