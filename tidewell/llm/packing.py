@@ -9,9 +9,12 @@ underfull bins that raise the sum of squared fills until bins run empty.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Expected documents in a packing group, and chunks whose ids a task remembers.
 GROUP_DOCS = 20_000
-CACHE = 400_000
+CACHE = 700_000
+_PLAIN = re.compile(r"([^\w\s'<]*)([^\W\d_]+)([^\w\s'<]*)")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,28 +39,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
 def chunk_encoder(path: str):
-    """Function texts -> list of little-endian id bytes.
+    """Function texts -> list of little-endian id bytes; one per worker process.
 
     The tokenizer drops white space and never joins across it, so texts are
     cut at blanks and each distinct chunk is encoded once while remembered.
+    Chunks of letters with other signs around them are cut into those parts,
+    which are encoded many to a text and told apart by the tokens that end a
+    word.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends_word[i] = token.endswith("</w>")
     known: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {"": b""}
+
+    def apart(chunks: list[str], into: dict[str, bytes]) -> None:
+        into.update(zip(chunks, (np.array(e.ids, "<u4").tobytes() for e in encode(chunks, add_special_tokens=False)), strict=True))
+
+    def together(words: list[str]) -> None:
+        ids = np.array(encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ends_word[ids])
+        if len(ends) != len(words):  # some has more words than it shows
+            return apart(words, parts)
+        cuts, raw = [0, *((ends + 1) * 4).tolist()], ids.tobytes()
+        parts.update(zip(words, (raw[a:b] for a, b in pairwise(cuts)), strict=True))
+
+    def learn(chunks: set[str]) -> None:
+        plain, rest = [], []
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                lead, word, trail = m.groups()
+                low = word.lower()
+                plain.append((c, lead, low if len(low) == len(word) and "Σ" not in word else word, trail))
+            else:
+                rest.append(c)
+        fresh = list({x for p in plain for x in p[1:] if x not in parts})
+        for i in range(0, len(fresh), 5_000):
+            together(fresh[i : i + 5_000])
+        known.update({c: parts[a] + parts[b] + parts[d] for c, a, b, d in plain})
+        for i in range(0, len(rest), 20_000):
+            apart(rest[i : i + 20_000], known)
 
     def ids(texts: list[str]) -> list[bytes]:
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
         if len(known) > CACHE:
             known.clear()
-        fresh = list({c for cs in lists for c in cs if c not in known})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False)), strict=True))
-        return [b"".join([known[c] for c in cs]) for cs in lists]
+            parts.clear()
+            parts[""] = b""
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(known.get, cs)) for cs in lists]
+        gaps = [[k for k, v in enumerate(vs) if v is None] if None in vs else () for vs in found]
+        learn({cs[k] for cs, g in zip(lists, gaps, strict=True) for k in g})
+        for cs, vs, g in zip(lists, found, gaps, strict=True):
+            for k in g:
+                vs[k] = known[cs[k]]
+        return [b"".join(vs) for vs in found]
 
     return ids
 
