@@ -28,7 +28,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Expected documents in a packing group, and chunks whose ids a task remembers.
 GROUP_DOCS = 20_000
-CACHE = 700_000
+CACHE = 1_000_000
+#: Characters encoded at a time; few enough that their chunks stay in the processor's cache.
+STEP = 100_000
 _PLAIN = re.compile(r"([^\w\s'<]*)([^\W\d_]+)([^\w\s'<]*)")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -111,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(path)
-        for piece, texts in text_steps(batches):
+        for piece, texts in text_steps(batches, STEP):
             rows: list[tuple[int | None, int, int, int, int]] = []
             for doc, ids in zip(piece.column("doc_id").to_pylist(), encode(texts), strict=True):
                 ids += end
