@@ -1,0 +1,389 @@
+"""Functions and operators on small fixed inputs with known results."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell import cli
+from tidewell.functions import text as tx
+from tidewell.functions import urls
+from tidewell.operators import crawl, html, linkcheck, markdown, rewrite, robots, schedule, search
+from tidewell.sources import corpus, fetch
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+# ---- utilities
+
+
+@pytest.mark.parametrize("raw,other,want", [(None, 3, 3), ("abc", 4, 4), ("10", 1, 10), ("12abc", 1, 12), ("0", 4, 4), ("-3", 4, 4)])
+def test_positive_int(spark, raw, other, want):
+    assert value(spark, tx.parse_positive_int(F.lit(raw).cast("string"), other)) == want
+
+
+@pytest.mark.parametrize("raw,want", [("Hello World!", "hello_world"), ("###", "index")])
+def test_sanitize_segment(spark, raw, want):
+    assert value(spark, urls.sanitize_segment(F.lit(raw))) == want
+
+
+@pytest.mark.parametrize(
+    "url,want",
+    [
+        ("https://example.com/docs/get-started", ".docs/example_com/docs/get_started/page.md"),
+        ("https://h.com/", ".docs/h_com/root/page.md"),
+        ("https://h.com/f%C3%BCr", ".docs/h_com/f_c3_bcr/page.md"),
+        ("https://h.com:8080/a//b?x#y", ".docs/h_com/a/b/page.md"),
+    ],
+)
+def test_output_paths(spark, url, want):
+    paths = value(spark, urls.output_paths(F.lit(url)))
+    assert paths["page_path"] == want and paths["llms_path"].endswith(".llms.md")
+    assert rewrite.page_path(url) == want.removeprefix(".docs/")
+
+
+def test_normalize_for_queue(spark):
+    assert value(spark, urls.normalize_for_queue(F.lit("https://example.com/page?x=1#section"))) == "https://example.com/page"
+
+
+@pytest.mark.parametrize("path,want", [("/image.png", False), ("/app.js", False), ("/styles.css", False), ("/about", True), ("/a.PNG", False), ("/a.js\n", True)])
+def test_html_candidate(spark, path, want):
+    assert value(spark, urls.is_html_candidate(F.lit(path))) is want
+
+
+@pytest.mark.parametrize("path,scope,want", [("/docs/guide", "/docs", True), ("/blog/post", "/docs", False), ("/docs", "/docs", True), ("/docs2", "/docs", False), ("/docs/", "/docs", True), ("/docs", "/docs/", True), ("/x", "/", True)])
+def test_scope(spark, path, scope, want):
+    assert value(spark, urls.is_path_in_scope(F.lit(path), F.lit(scope))) is want
+    assert rewrite.in_scope(path, scope) is want
+
+
+@pytest.mark.parametrize(
+    "url,want",
+    [
+        ("https://bun.com/", "https://bun.com/llms.txt"),
+        ("https://bun.com", "https://bun.com/llms.txt"),
+        ("https://bun.com/docs", "https://bun.com/docs.md"),
+        ("https://bun.com/docs/", "https://bun.com/docs.md"),
+        ("https://bun.com/docs/readme.md", "https://bun.com/docs/readme.md"),
+        ("https://bun.com/docs/llms.txt", "https://bun.com/docs/llms.txt"),
+        ("https://h.com/a.html?x=1#y", "https://h.com/a.html.md?x=1"),
+        ("https://h.com/a.MD/", "https://h.com/a.MD"),
+    ],
+)
+def test_markdown_candidate(spark, url, want):
+    assert value(spark, urls.markdown_candidate(F.lit(url))) == want
+
+
+@pytest.mark.parametrize("n,want", [(200, False), (201, True)])
+def test_meaningful_text(spark, n, want):
+    page = "<html><style>p{}</style><script>var x = '</p>'</script><p>" + "x " * n + "</p>"
+    assert value(spark, tx.has_meaningful_text(F.lit(page))) is want
+
+
+@pytest.mark.parametrize(
+    "href,base,want",
+    [
+        ("HTTPS://EXAMPLE.com:443/a/../b", None, "https://example.com/b"),
+        ("für", "https://h.com/x/y", "https://h.com/x/f%C3%BCr"),
+        ("//o.com", "https://h.com/", "https://o.com/"),
+        ("?q=1", "https://h.com/a", "https://h.com/a?q=1"),
+        ("https://", None, None),
+        ("http://a:99999/", None, None),
+        ("mailto:x@y.z", "https://h.com/", "mailto:x@y.z"),
+    ],
+)
+def test_canonical_url(href, base, want):
+    assert urls.canonical_url(href, base) == want
+
+
+# ---- hashing and fuzzy matching
+
+
+def test_rolling_hash_and_bloom(spark):
+    assert [value(spark, tx.rolling_hash(F.lit("a"), s)) for s in tx.SEEDS] == [2725714748, 683130064]
+    assert [value(spark, tx.rolling_hash(F.lit("https://example.com/docs"), s)) for s in tx.SEEDS] == [2496044449, 2991027597]
+    assert list(value(spark, tx.bloom_positions(F.lit("https://example.com/docs"), 100))) == [449, 46, 643, 240, 837, 434, 31]
+
+
+@pytest.mark.parametrize(
+    "query,target,score,indices",
+    [
+        ("doc", "docs/page.md", 89.5, [0, 1, 2]),
+        ("DOC", "docs/page.md", 83.5, [0, 1, 2]),
+        ("gst", "get-started/page.md", 81.5, [0, 4, 5]),
+        ("pm", "docs/page.md", 36.5, [5, 10]),
+        ("md", "example_com/docs/a/very/long/path/to/page.md", 26.5, [3, 12]),
+        ("xyz", "docs/page.md", None, None),
+        ("", "a", 0.0, []),
+    ],
+)
+def test_fuzzy(spark, query, target, score, indices):
+    m = value(spark, tx.fuzzy_match(query, F.lit(target)))
+    assert (m and (m["score"], list(m["indices"]))) == (None if score is None else (score, indices))
+
+
+def test_content_search(spark):
+    files = spark.createDataFrame([("f", "a\nB\nc"), ("g", None), ("h", "")], "path string, content string")
+    row = search.search_content(files, "b", 1).collect()
+    assert len(row) == 1 and row[0]["score"] == 11
+    m = row[0]["matches"][0]
+    assert (m["line_number"], m["match_index"], m["match_length"], list(m["context_before"]), list(m["context_after"])) == (2, 0, 1, ["a"], ["c"])
+    shown = search.format_content(search.search_content(files, "b", 1)).first()["text"]
+    assert shown == "f\n  1: a\n  2: B\n  3: c\n"
+    assert search.find(files, "b", files_only=True, content_only=True).count() == 0
+
+
+# ---- robots
+
+
+def allowed(spark, text, agent, paths):
+    rules = robots.rules_for(robots.parse(spark.createDataFrame([("o", text)], "origin string, text string")), agent)
+    rows = robots.allowed(spark.createDataFrame([("o", p) for p in paths], "origin string, path string"), rules).collect()
+    return {r["path"]: r["allowed"] for r in rows}
+
+
+@pytest.mark.parametrize(
+    "text,agent,want",
+    [
+        ("User-agent: *\nDisallow: /private\nAllow: /private/docs\nCrawl-delay: 2", "x", {"/private/docs/readme": True, "/private/other": False}),
+        ("User-agent: *\nDisallow: ", "x", {"/": True, "/other": True}),
+        ("User-agent: *\nDisallow: private", "x", {"/private": False}),
+        ("User-agent: a\nUser-agent: b\nDisallow: /x", "a", {"/x": True}),
+        ("User-agent: a\nUser-agent: b\nDisallow: /x", "b", {"/x": False}),
+        ("User-agent: *\nDisallow: /a:b", "x", {"/a": False, "/a:b": False, "/b": True}),
+        ("User-agent: *\nDisallow: /t\nAllow: /t", "x", {"/t": True}),
+        ("", "x", {"/t": True}),
+    ],
+)
+def test_robots(spark, text, agent, want):
+    assert allowed(spark, text, agent, list(want)) == want
+
+
+def test_robots_delay(spark):
+    t = spark.createDataFrame([("o", "User-agent: *\nCrawl-delay: 2"), ("p", "User-agent: *\nDisallow:")], "origin string, text string")
+    assert {r["origin"]: r["crawl_delay_ms"] for r in robots.select_agent(robots.parse(t), "x").collect()} == {"o": 2000.0, "p": None}
+
+
+# ---- Markdown
+
+
+def test_extract_markdown(spark):
+    at = F.lit("t")
+    a = value(spark, markdown.extract_markdown(F.lit("# Title\n\nBody"), F.lit("https://e.com/docs"), at))
+    assert a == "---\nSource: https://e.com/docs\nFetched: t\n---\n# Title\n\nBody"
+    b = value(spark, markdown.extract_markdown(F.lit("Body only"), F.lit("https://example.com/docs"), at))
+    assert "# https://example.com/docs\n\nBody only" in b
+    c = value(spark, markdown.extract_markdown(F.lit("intro\n\n## Later"), F.lit("u"), at))
+    assert c.endswith("# Later\n\nintro\n\n## Later")
+
+
+def test_href_target():
+    assert rewrite.href_target("mailto:test@example.com", "https://e.com") is None
+    assert rewrite.href_target("/docs", "https://example.com") == "https://example.com/docs"
+    assert rewrite.href_target("https://example.com/docs/page#section", "https://e.com") == "https://example.com/docs/page"
+
+
+def test_dom_links():
+    page = '<a href="/in-scope/page">a</a><a href="https://other.com">b</a><a href="/skip.png">c</a><a href="/app.js">d</a><a href=/in-scope/page#x>e</a>'
+    assert html.tree_links(html.parse(page), "https://example.com/", "https://example.com", "/") == ["https://example.com/in-scope/page"]
+    based = '<base href="/deep/"><a href="x">a</a>'
+    assert html.tree_links(html.parse(based), "https://example.com/", "https://example.com", "/") == ["https://example.com/deep/x"]
+
+
+@pytest.mark.parametrize(
+    "md,base,scope,want",
+    [
+        ('<Card href="/runtime">Runtime</Card>', "https://bun.com/docs", "/docs", ["https://bun.com/docs/runtime"]),
+        ("[Section](https://example.com/docs/page#anchor)", "https://example.com/docs", "/docs", ["https://example.com/docs/page"]),
+        ("<Card href={'/a'} /> <Card href='/b' /> <Card href={x} />", "https://h.com/", "/", ["https://h.com/a", "https://h.com/b"]),
+    ],
+)
+def test_markdown_links(md, base, scope, want):
+    assert rewrite.page_links(md, base, base.split("/docs")[0].rstrip("/"), scope) == want
+
+
+def relinked(md, current, known, scope=None):
+    return rewrite.rewrite_document(md, current, rewrite.resolver(current, set(known).__contains__, None, scope))
+
+
+def test_rewrite():
+    at = "https://example.com/docs/intro"
+    assert relinked("[Doc](https://example.com/docs/intro/overview)", at, ["https://example.com/docs/intro/overview"]) == "[Doc](overview/page.md)"
+    doc = "---\nSource: https://bun.com/docs/test/index\n---\n\nhttps://bun.com/docs/llms.txt\n[Section](https://bun.com/docs/llms.txt#nav)"
+    got = relinked(doc, "https://bun.com/docs/test/index", ["https://bun.com/docs/llms.txt"], "/docs")
+    assert "[https://bun.com/docs/llms.txt](../../llms_txt/page.md)" in got and "[Section](../../llms_txt/page.md#nav)" in got and "[[[[" not in got
+    assert relinked("---\nSource: [https://bun.com/docs/index](page.md)\n---\n\nbody", at, []) == "---\nSource: https://bun.com/docs/index\n---\n\nbody"
+    assert relinked("[External](https://other.com/page)", "https://bun.com/docs", []) == "[External ↗](https://other.com/page)"
+    got = relinked("[Guide ↗](https://two.com/guide)", "https://one.com/docs/page", ["https://two.com/guide"])
+    assert got.startswith("[Guide](") and "two_com/guide/page.md" in got and "↗" not in got
+    quoted = "> [https://bun.com/docs/llms.txt](../../llms_txt/page.md)"
+    assert relinked(quoted, "https://bun.com/docs/test/index", ["https://bun.com/docs/llms.txt"]).count("https://bun.com/docs/llms.txt") == 1
+    assert relinked("[foo ](/x)", "https://h.com/", []) == "[foo](/x)"
+    assert relinked("[![a](https://o.com/i.png)](https://o.com)", "https://h.com/", []) == "[![a ↗](https://o.com/i.png)](https://o.com)"
+    fenced = "```\nhttps://h.com/a\n```\nhttps://h.com/a, `https://h.com/a`\n[r]: https://h.com/a x"
+    assert relinked(fenced, "https://h.com/b", ["https://h.com/a"]) == "```\nhttps://h.com/a\n```\n[https://h.com/a](../a/page.md), `https://h.com/a`\n[r]: ../a/page.md x"
+
+
+def test_link_check(spark):
+    docs = [
+        ("one.md", "---\nSource: https://one.example.com/docs/page\n---\n\n[Other ↗](https://two.example.com/guide)\n"),
+        ("two.md", "---\nSource: https://two.example.com/guide\n---\n\nText\n"),
+        ("none.md", "no source"),
+    ]
+    got = {r["file_path"]: r for r in linkcheck.link_check(spark.createDataFrame(docs, "file_path string, content string")).collect()}
+    assert set(got) == {"one.md", "two.md"}
+    assert "[Other](" in got["one.md"]["content"] and "↗" not in got["one.md"]["content"] and "two_example_com/guide/page.md" in got["one.md"]["content"]
+    assert got["one.md"]["changed"] and not got["two.md"]["changed"]
+
+
+@pytest.mark.parametrize(
+    "paths,want",
+    [(["/docs/a/b", "/docs/a/c"], "/docs/a"), (["/guide/z"], "/guide"), (["/v", "/w"], "/"), (["/"], "/"), (["/guide/z", "/guide/z"], "/guide/z")],
+)
+def test_scope_prefix(spark, paths, want):
+    t = spark.createDataFrame([("o", p) for p in paths], "origin string, pathname string")
+    assert linkcheck.scope_prefixes(t).first()["scope"] == want
+
+
+# ---- HTML
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<a href="https://example.com">First line<br>Second line</a>', "[First line Second line](https://example.com)"),
+        ('<a href="https://example.com"><h2>Sub</h2><h1>Main</h1></a>', "# [Sub Main](https://example.com)"),
+        ("<table><tr><th>Col</th></tr><tr><td>Val</td></tr></table>", "| Col |\n| --- |\n| Val |"),
+        ("<p>a <b>bold</b> and <em>soft</em> <del>gone</del></p><hr><p>x</p>", "a **bold** and _soft_ ~~gone~~\n\n* * *\n\nx"),
+        ("<ul><li>one</li><li>two</li></ul><ol><li>x</li></ol>", "-   one\n-   two\n\n1.  x"),
+        ("<pre><code class='language-py'>x = 1\n</code></pre>", "```py\nx = 1\n```"),
+        ("<p>one<p>two", "one\n\ntwo"),
+    ],
+)
+def test_to_markdown(page, want):
+    assert html.to_markdown(html.parse(page)) == want
+
+
+def test_clutter_and_content():
+    page = "<html><head><title> T  x</title><script>var t='</p>'</script></head><body><nav>Menu</nav><main><p>Hello</p><a href='/n'>n</a></main><footer>End</footer></body>"
+    main, clutter = html.strip_clutter(html.parse(page))
+    assert html.collapse(main.content()) == "Hellon" and clutter == "<ul><li>Menu</li><li>End</li><li>var t='</p>'</li></ul>"
+    d = html.extract(page, "https://h.com/a", "t")
+    assert d["title"] == "T x" and d["links"] == ["https://h.com/n"] and d["markdown"].startswith("---\nSource: https://h.com/a\nFetched: t\n---\n\n# T x\nHello")
+    assert "Menu" in d["llms_full_markdown"] and "Menu" not in d["markdown"]
+
+
+# ---- scheduling
+
+
+def test_slots(spark):
+    t = spark.createDataFrame([("o", i, t) for i, t in enumerate((0, 10, 1000, 1010))] + [("p", 0, 5)], "origin string, seq long, now_ms long")
+    got = schedule.politeness_slots(t, 150).orderBy("origin", "seq").collect()
+    assert [r["slot_ms"] for r in got] == [0, 150, 1000, 1150, 5]
+    assert [r["slot_ms"] for r in schedule.politeness_slots(t, 0).orderBy("origin", "seq").collect()] == [0, 10, 1000, 1010, 5]
+
+
+def test_ewma(spark):
+    assert value(spark, schedule.ewma(F.array(*map(F.lit, (100.0, 300.0, 0.0, 400.0))), 200)) == pytest.approx(266.3)
+    t = spark.createDataFrame([("k", i, v) for i, v in enumerate((100.0, 300.0, 0.0, 400.0))], "k string, seq int, v double")
+    assert schedule.ewma_by(t, "k", "seq", "v", 200).first()["ewma"] == pytest.approx(266.3)
+
+
+def test_durations(spark):
+    assert [value(spark, tx.format_duration(F.lit(ms))) for ms in (1, 59_400, 60_000, 125_500)] == ["1s", "59s", "1m 0s", "2m 6s"]
+
+
+# ---- crawl, sources, sinks
+
+
+def test_bfs_depth_budget_and_cycles(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("a", "e")], "url string, target string")
+    seed = spark.createDataFrame([("a",)], "url string")
+    depth = {r["url"]: r["depth"] for r in crawl.bfs(seed, links, max_depth=2).collect()}
+    assert depth == {"a": 0, "b": 1, "e": 1, "c": 2}
+    assert crawl.bfs(seed, links, max_pages=2).count() == 2
+    ok = spark.createDataFrame([(x,) for x in "abd"], "url string")
+    assert {r["url"] for r in crawl.bfs(seed, links, allowed=ok).collect()} == {"a", "b"}
+
+
+def test_url_list(spark, tmp_path):
+    f = tmp_path / "list.txt"
+    f.write_text("# c\n\nhttps://a.com\r\n https://b.com \nhttps://a.com\n")
+    assert [r["url"] for r in corpus.read_url_file(spark, str(f), "https://b.com").orderBy("pos").collect()] == ["https://b.com", "https://a.com"]
+
+
+def test_files_round_trip(spark, tmp_path):
+    out = str(tmp_path / "docs")
+    docs = spark.createDataFrame([("https://h.com/a", "page", "", "l", "f"), ("https://h.com/A", "later", "c", "l", "f")], "url string, markdown string, clutter_markdown string, llms_markdown string, llms_full_markdown string")
+    files = corpus.page_files(docs, out, clutter=True, overwrite_llms=True)
+    assert corpus.write_files(files).count() == 4
+    found = {r["path"]: r["content"] for r in corpus.read_tree(spark, out).collect()}
+    assert found == {"h_com/a/page.md": "later", "h_com/a/.llms.md": "l", "h_com/a/llms-full.md": "f"}
+    assert corpus.read_tree(spark, out, for_links=True).count() == 4
+    assert corpus.page_files(docs, out).count() == 1
+
+
+def test_snapshot_fetch(spark):
+    long = "<p>" + "x" * 300
+    pages = spark.createDataFrame([("https://h.com/a", long), ("https://h.com/b", "<p>short"), ("https://h.com/c", "<p>short"), ("https://h.com/m", long), ("https://h.com/x.js", long)], "url string, html string")
+    md = spark.createDataFrame([("https://h.com/m.md", "# M"), ("https://h.com/a.md", "  ")], "url string, text string")
+    live = spark.createDataFrame([("https://h.com/b", long)], "url string, html string")
+    frontier = pages.select("url").union(spark.createDataFrame([("https://h.com/none",)], "url string"))
+    got = {r["url"][14:]: r["source"] for r in fetch.from_snapshot(frontier, pages, md, live).collect()}
+    assert got == {"a": "html", "b": "rendered", "c": "html", "m": "markdown", "none": "missing"}
+    assert {r["source"] for r in fetch.from_snapshot(frontier, pages, md, live, render=False).collect()} == {"html", "markdown", "missing"}
+
+
+def test_retries():
+    calls = []
+
+    def fails():
+        calls.append(1)
+        raise OSError("HTTP 404 Not Found")
+
+    assert fetch.with_retries(fails, 2) == (None, "HTTP 404 Not Found") and len(calls) == 3
+
+
+def test_http_source_with_a_given_getter(spark):
+    t = spark.createDataFrame([("https://h.com/a",), ("https://h.com/b.css",)], "url string")
+    assert [tuple(r) for r in fetch.over_http(t, get=lambda u: u.upper()).collect()] == [("https://h.com/a", "HTTPS://H.COM/A", None)]
+
+
+def test_crawl_site_end_to_end(spark):
+    from tidewell.plans import commands
+
+    body = "<p>" + "word " * 80 + "</p>"
+    pages = [("https://h.com/docs", f"{body}<a href='/docs/a'>A</a><a href='/blog'>B</a>"), ("https://h.com/docs/a", f"{body}<a href='/docs/b'>b</a><a href='/docs/secret'>s</a>"), ("https://h.com/docs/b", f"{body}<a href='/docs/c'>c</a>"), ("https://h.com/docs/c", body), ("https://h.com/docs/secret", body), ("https://h.com/blog", body)]
+    txt = spark.createDataFrame([("https://h.com", "User-agent: *\nDisallow: /docs/secret")], "origin string, text string")
+    got = {r["url"]: r for r in commands.crawl_site(spark.createDataFrame(pages, "url string, html string"), "https://h.com/docs", "t", max_depth=2, robots_txt=txt).collect()}
+    assert {u: r["depth"] for u, r in got.items()} == {"https://h.com/docs": 0, "https://h.com/docs/a": 1, "https://h.com/docs/b": 2}
+    assert "[b](../b/page.md)" in got["https://h.com/docs/a"]["llms_full_markdown"]
+
+
+# ---- command line
+
+
+@pytest.mark.parametrize(
+    "argv,command,field,want",
+    [
+        (["https://example.com"], "crawl", "crawl_start", "https://example.com"),
+        (["url", "https://example.com"], "url", "url", "https://example.com"),
+        (["urls", "./urls.txt"], "urls", "urls_file", "./urls.txt"),
+        (["crawl", "https://example.com", "--clutter"], "crawl", "clutter", True),
+        (["https://example.com", "--no-clutter"], "crawl", "clutter", False),
+        (["link-check", "-o", "./docs", "--verbose"], "link-check", "directory", "./docs"),
+        (["linkcheck"], "link-check", "directory", ".docs"),
+        (["find", "q", "-C", "0"], "find", "context_lines", 0),
+        (["https://e.com", "--max-depth=7x", "--retries", "0"], "crawl", "max_depth", 7),
+        (["--version"], "version", "command", "version"),
+    ],
+)
+def test_arguments(argv, command, field, want):
+    a = cli.parse_args(argv)
+    assert a.command == command and getattr(a, field) == want
+
+
+@pytest.mark.parametrize("argv", [[], ["url"], ["crawl", "ftp://x"], ["find"]])
+def test_bad_arguments(argv):
+    with pytest.raises(SystemExit):
+        cli.parse_args(argv)
