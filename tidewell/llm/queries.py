@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import chat, decontam, hnsw, linededup, packing, pii, secrets, simhash, tokencount, toxicity
 from tidewell.llm.common import table
+from tidewell.llm.oracles import ORACLE  # noqa: F401
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +65,3 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
-
-ORACLE: dict[str, str] = {}
