@@ -118,7 +118,6 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int
 
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v): edges that span all their links."""
-    spark = distinct.sparkSession
     quarter = [F.expr(f"bit_count(shiftrightunsigned(fp, {16 * k}) & 65535)").cast("int").alias(f"q{k}") for k in range(4)]
     n = distinct.count()
     blocks_wanted = max(1, -(-n // block))
@@ -142,17 +141,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
 
     blocks = ordered.select("fp").mapInArrow(pack, "fps binary, lo array<int>, hi array<int>").withColumn("b", F.monotonically_increasing_id())
     blocks = staged(blocks)
-    # one row per block: its number, its place in the order and the bounds of its counts
-    heads = [(r["b"], list(r["lo"]), list(r["hi"])) for r in blocks.select("b", "lo", "hi").orderBy("b").toLocalIterator()]
-    if not heads:
-        return spark.createDataFrame([], "u long, v long")
-    lo, hi = (np.array([h[k] for h in heads]) for k in (1, 2))
-    number = {b: k for k, (b, _, _) in enumerate(heads)}
-    near = [[j for j in (np.nonzero(_gap(lo[i], hi[i], lo[i:], hi[i:]) <= radius)[0] + i).tolist()] for i in range(len(heads))]
-    pairs = sum(map(len, near))
-    partners = spark.createDataFrame([(b, number[b], [heads[j][0] for j in near[number[b]]]) for b, _, _ in heads], "b long, k int, with array<long>")
-    left = blocks.select("b", F.col("fps").alias("x")).join(partners, "b").select("b", "x", F.explode("with").alias("c"))
-    work = left.join(blocks.select(F.col("b").alias("c"), F.col("fps").alias("y")), "c")
+    # block pairs that the counts allow: equal values of the first quarter's count meet, the rest is a filter
+    heads = blocks.select("b", "lo", "hi")
+    ours = heads.select("b", "lo", "hi", F.explode(F.sequence(F.expr("lo[0]"), F.expr("hi[0]"))).alias("z"))
+    theirs = heads.select(F.col("b").alias("c"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.expr(f"greatest(lo[0] - {radius}, 0)"), F.expr(f"least(hi[0] + {radius}, 16)"))).alias("z"))
+    gap = " + ".join(f"greatest(0, lo2[{k}] - hi[{k}], lo[{k}] - hi2[{k}])" for k in range(4))
+    pairs = staged(ours.join(theirs, "z").where(f"b <= c and {gap} <= {radius}").select("b", "c").distinct())
+    x, y = blocks.select("b", F.col("fps").alias("x")), blocks.select(F.col("b").alias("c"), F.col("fps").alias("y"))
+    work = pairs.join(x, "b").join(y, "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +158,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
                 u, v = forest(x, None if one["b"] == one["c"] else np.frombuffer(one["y"][0], np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return work.repartition(max(1, min(pairs, 4096)), "b", "c").mapInArrow(compare, "u long, v long")
+    return work.select("b", "c", "x", "y").repartition(max(1, min(pairs.count(), 4096)), "b", "c").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
