@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text handed to one Python step at a time, in characters. It bounds a
+#: Text handed to one Python step at a time, in bytes of UTF-8. It bounds a
 #: worker's memory however many rows an Arrow batch holds; a single longer
 #: text is still taken whole.
 STEP_CHARS = 2_000_000
@@ -57,15 +58,14 @@ def text_steps(batches: Iterator[pa.RecordBatch], step_chars: int = STEP_CHARS):
     Yields ``(piece, texts)``; a null text comes as ''.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        column = batch.column("text")
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         begin, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= step_chars:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
+        for i, size in enumerate(sizes):
+            held += size
+            if held >= step_chars or i + 1 == len(sizes):
+                yield batch.slice(begin, i + 1 - begin), [t or "" for t in column.slice(begin, i + 1 - begin).to_pylist()]
                 begin, held = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
 
 
 def id_text(docs: DataFrame) -> DataFrame:

@@ -26,9 +26,10 @@ from tidewell.llm.common import id_text, staged, text_steps
 
 CAPACITY = 4096
 END_ID = 1
-#: Expected documents in a packing group, and chunks whose ids a task remembers.
+#: Expected documents in a packing group, and chunks, and parts of chunks, whose ids a worker remembers.
 GROUP_DOCS = 20_000
-CACHE = 1_000_000
+CACHE = 900_000
+PARTS = 300_000
 #: Characters encoded at a time; few enough that their chunks stay in the processor's cache.
 STEP = 100_000
 _PLAIN = re.compile(r"([^\w\s'<]*)([^\W\d_]+)([^\w\s'<]*)")
@@ -92,6 +93,7 @@ def chunk_encoder(path: str):
     def ids(texts: list[str]) -> list[bytes]:
         if len(known) > CACHE:
             known.clear()
+        if len(parts) > PARTS:
             parts.clear()
             parts[""] = b""
         lists = [t.replace("\n", " ").split(" ") for t in texts]

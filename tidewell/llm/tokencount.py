@@ -15,14 +15,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewell.llm.common import id_text, text_steps
 
-#: Trie nodes that a task keeps before it begins a new trie.
-NODES = 400_000
+#: Trie nodes that a worker keeps before it begins a new trie, pre-tokens whose
+#: counts it remembers, and bytes of text in a step.
+NODES = 300_000
+KNOWN = 900_000
+STEP = 100_000
 MARK = "▁"
 
 
@@ -52,12 +56,12 @@ class Trie:
         self.longest = max(map(len, pieces), default=1)
         self.tails = {p[i:] for p in pieces for i in range(len(p))}
         self.byte = min(pieces.values(), default=-1.0) * 2
+        self.known: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.root: list = [{}, 0.0, 0]
         self.size = 1
-        self.known: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """Tokens of a pre-token, without the leading mark in ``word``."""
@@ -89,8 +93,21 @@ class Trie:
         return score, count
 
     def counts(self, words: list[str]) -> int:
-        known, insert = self.known, self.insert
-        return sum([known[w] if w in known else insert(w) for w in words])
+        found = list(map(self.known.get, words))
+        if None in found:
+            if self.size > NODES:
+                self.clear()
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            known = self.known
+            found = [(known[w] if w in known else self.insert(w)) if n is None else n for w, n in zip(words, found, strict=True)]
+        return sum(found)
+
+
+@lru_cache(maxsize=1)
+def worker_trie(path: str) -> Trie:
+    """One trie per worker process."""
+    return Trie(load_pieces(path))
 
 
 def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -103,10 +120,8 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(load_pieces(path))
-        for piece, texts in text_steps(batches):
-            if trie.size > NODES:
-                trie.clear()
+        trie = worker_trie(path)
+        for piece, texts in text_steps(batches, STEP):
             pre, tokens = [], []
             for t in texts:
                 words = t.split()

@@ -216,8 +216,8 @@ class Scorer:
         known = self.known
         fresh = list(dict.fromkeys(w for ws in lists for w in ws if w not in known))
         if fresh:
-            for i in range(0, len(fresh), 50_000):
-                part = fresh[i : i + 50_000]
+            for i in range(0, len(fresh), 20_000):
+                part = fresh[i : i + 20_000]
                 x, _ = self.net.inputs(part)
                 for d, v in self.net.project(x).items():
                     self.rows[d].append(v[1:])
@@ -278,8 +278,11 @@ def train(rows: list[tuple[str, int]], epochs: int = 4, seed: int = 7) -> Networ
     # windows to learn from: of a toxic text the one with the highest odds, of others that one and one at random
     words = sorted({w for ws in lists for w in ws})
     row = {w: i + 1 for i, w in enumerate(words)}
-    x, _ = net.inputs(words)
-    hint = np.maximum(x[:, -3], 0) + np.maximum(x[:, -1], 0)
+    hint = [np.zeros(1, np.float32)]
+    for i in range(0, len(words), 20_000):
+        x, _ = net.inputs(words[i : i + 20_000])
+        hint.append(np.maximum(x[1:, -3], 0) + np.maximum(x[1:, -1], 0))
+    hint = np.concatenate(hint)
     picked, target = [], []
     for ws, label in zip(lists, y.tolist(), strict=True):
         ids, _ = windows([np.array([row[w] for w in ws], np.int64)])
