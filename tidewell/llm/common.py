@@ -40,15 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Spark's setting for removing a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, and keeps
-    columns prunable for the readers.
+    columns prunable for the readers. Nothing reads the shuffle files behind a
+    written stage again, so they go at once and not with the driver's garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

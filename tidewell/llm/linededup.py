@@ -40,30 +40,31 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line_no, line, h1, h2, n: the lines that are not blank."""
-    every = _identified(docs).select("doc_id", "th", F.posexplode(F.expr(_SPLIT)).alias("line_no", "raw"))
-    line = every.select("doc_id", "th", "line_no", F.expr(_TRIM.format("raw")).alias("line")).where("line <> ''")
-    return line.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n": F.length("line")})
-
-
 def _reach(n: str) -> str:
     """Length of the head and tail that a line of the class has to share."""
     return f"(case when {n} < 64 then 4 * ({n} div 8) else 16 * ({n} div 32) end)"
 
 
-def _two_members(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that at least two different lines have."""
-    return rows.groupBy(*keys).agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select(*keys)
-
-
-def _ends(lines: DataFrame) -> DataFrame:
-    """h1, h2, key: heads and tails of a line for its own length and one more."""
+def _ends() -> str:
+    """Keys of a line's heads and tails, for its own length and one more; null for short lines."""
     keys = []
     for n in ("n", "(n + 1)"):
         r = _reach(n)
         keys += [f"xxhash64('head', {r}, substring(line, 1, {r}))", f"xxhash64('tail', {r}, right(line, {r}))"]
-    return lines.where(f"n >= {SHORT}").select("h1", "h2", F.expr(f"explode(array_distinct(array({', '.join(keys)})))").alias("key"))
+    return f"case when n >= {SHORT} then array_distinct(array({', '.join(keys)})) end"
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th, line_no, h1, h2, n, ends: the lines that are not blank, without their text."""
+    every = _identified(docs).select("doc_id", "th", F.posexplode(F.expr(_SPLIT)).alias("line_no", "raw"))
+    line = every.select("doc_id", "th", "line_no", F.expr(_TRIM.format("raw")).alias("line")).where("line <> ''").withColumn("n", F.length("line"))
+    return line.select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", F.expr(_ends()).alias("ends"))
+
+
+def _two_members(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that at least two different lines have."""
+    ends = [f(h).alias(f"{f.__name__}_{h}") for f in (F.min, F.max) for h in ("h1", "h2")]
+    return rows.groupBy(*keys).agg(*ends).where("min_h1 <> max_h1 or min_h2 <> max_h2").select(*keys)
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
@@ -86,9 +87,9 @@ def _variants(chunks: DataFrame) -> DataFrame:
     return replaced.unionByName(deleted).unionByName(full)
 
 
-def _near(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, first: DataFrame) -> DataFrame:
     """h1, h2, near: of lines with an earlier other line within one edit, the earliest such."""
-    ends = _ends(lines)
+    ends = first.select("h1", "h2", F.explode("ends").alias("key"))
     sharing = ends.join(_two_members(ends, ["key"]), "key").select("h1", "h2").distinct()
     chosen = first.join(sharing, ["h1", "h2"], "left_semi").unionByName(first.where(f"n <= {SHORT}")).select("h1", "h2", "pos")
     wanted = chosen.groupBy(F.col("pos.doc_id").alias("wanted_id"), F.col("pos.th").alias("wanted_th")).agg(F.collect_list(F.struct("h1", "h2", "pos")).alias("wanted"))
@@ -123,10 +124,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Other columns may have any names but those added; ones of the same name
     are replaced.
     """
-    lines = _lines(docs)
+    lines = staged(_lines(docs))
     pos = F.struct("doc_id", "line_no", "th").alias("pos")
-    first = staged(lines.select("h1", "h2", "n", pos).groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.count("*").alias("times")))
-    near = _near(docs, lines, first)
+    first = staged(lines.select("h1", "h2", "n", "ends", pos).groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.any_value("ends").alias("ends"), F.count("*").alias("times")))
+    near = staged(_near(docs, first))
     act = first.join(near, ["h1", "h2"], "left").where("times > 1 or near is not null").select("h1", "h2", F.least("pos", "near").alias("stays"))
     gone = lines.select("h1", "h2", pos).join(act, ["h1", "h2"]).where("pos > stays")
     drops = gone.groupBy(F.col("pos.doc_id").alias("__doc_id"), F.col("pos.th").alias("__th")).agg(F.collect_set("pos.line_no").alias("__drops"))
