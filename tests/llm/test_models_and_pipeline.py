@@ -125,10 +125,18 @@ def test_graph_recall_and_wide_groups():
     x = hnsw._unit(np.concatenate((tight, r.standard_normal((2500, 32)))))
     graph = hnsw.Graph(x.astype(np.float32))
     beam = hnsw.audited_beam(graph, x, 0.95)
-    a, b = hnsw.within(graph, x, x, 0.95, beam)
     truth = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True)}
-    found = set(zip(a.tolist(), b.tolist(), strict=True))
-    assert found <= truth and len(found) >= 0.98 * len(truth)
+    found = [p for a, b in hnsw.pairs_within(graph, x, x, 0.95, beam) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) <= truth and len(found) >= 0.98 * len(truth)
+
+
+def test_queries_with_full_beams_meet_the_whole_shard(monkeypatch):
+    monkeypatch.setattr(hnsw, "WIDEST", 100)
+    r = np.random.default_rng(5)
+    x = hnsw._unit(np.concatenate((r.standard_normal(16) + r.standard_normal((900, 16)) * 0.02, r.standard_normal((900, 16)))))
+    graph = hnsw.Graph(x.astype(np.float32))
+    found = [p for a, b in hnsw.pairs_within(graph, x, x, 0.95, 24) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and {p for p in found if p[0] < 900} == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i < 900}
 
 
 # ---- components

@@ -4,7 +4,9 @@ Distinct unit vectors are dealt by hash into shards. Each shard holds a
 hierarchical navigable small-world graph; every vector queries every shard.
 A query's beam is widened while its whole beam is within the threshold, and
 all beams are widened until an audit of sampled queries against brute force
-passes. Candidates are verified by cosine in double precision.
+passes. Candidates are verified by cosine in double precision. A search task
+returns how many links each query found and a spanning forest of them, so a
+group of near copies never becomes all its pairs.
 
 Graph steps run for many queries at once in numpy.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import staged
-from tidewell.llm.components import components
+from tidewell.llm.components import components, local_roots
 
 THRESHOLD = 0.95
 #: Vectors in a shard at most (expected), links of a node, and beams of building and searching.
@@ -30,6 +32,8 @@ SHARDS = 6
 LINKS = 12
 BUILD_BEAM = 32
 BEAM = 24
+#: Beams stay below this width; queries that fill them are compared with the whole shard.
+WIDEST = 1_536
 AUDIT_QUERIES = 200
 AUDIT_RECALL = 0.98
 QUERY_BLOCK = 4_096
@@ -195,26 +199,32 @@ def _beam_block(x, near, q, entry, beam):
     return np.where(np.isneginf(sims), -1, ids), sims
 
 
-def within(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs found with cosine >= threshold, verified in double precision.
+def pairs_within(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) pairs found with cosine >= threshold, verified in double precision, in bounded parts.
 
     ``q`` and ``exact`` (the graph's rows) are float64 unit vectors. A query
-    whose beam ends inside the threshold searches again with a wider one.
+    whose beam ends inside the threshold searches again with one four times
+    as wide; where that would be ``WIDEST`` or more it is compared with all
+    rows. No pair comes twice.
     """
-    todo, found_q, found_i = np.arange(len(q)), [], []
-    slack = threshold - 1e-4  # float32 search, double verification
-    while len(todo):
-        ids, sims = graph.search(q[todo].astype(np.float32), beam)
-        full = (sims[:, -1] >= slack) & (beam < len(exact))
-        rows, cols = np.nonzero((sims >= slack) & (ids >= 0) & ~full[:, None])
-        found_q.append(todo[rows])
-        found_i.append(ids[rows, cols])
-        todo, beam = todo[full], min(beam * 4, len(exact))
-    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_q, found_i))
-    ok = np.zeros(len(a), bool)
-    for i in range(0, len(a), 100_000):
-        ok[i : i + 100_000] = np.einsum("nd,nd->n", q[a[i : i + 100_000]], exact[b[i : i + 100_000]]) >= threshold
-    return a[ok], b[ok]
+    todo, slack = np.arange(len(q)), threshold - 1e-4  # float32 search, double verification
+    while len(todo) and beam < min(WIDEST, len(exact)):
+        full = np.zeros(len(todo), bool)
+        for i in range(0, len(todo), 512):
+            part = todo[i : i + 512]
+            ids, sims = graph.search(q[part].astype(np.float32), beam)
+            full[i : i + 512] = sims[:, -1] >= slack
+            rows, cols = np.nonzero((sims >= slack) & (ids >= 0) & ~full[i : i + 512, None])
+            a, b = part[rows], ids[rows, cols]
+            ok = np.einsum("nd,nd->n", q[a], exact[b]) >= threshold
+            yield a[ok], b[ok]
+        todo, beam = todo[full], beam * 4
+    for i in range(0, len(todo), 256):
+        for j in range(0, len(exact), 4096):
+            rows, cols = np.nonzero(q[todo[i : i + 256]] @ exact[j : j + 4096].T >= slack)
+            a, b = todo[i + rows], j + cols
+            ok = np.einsum("nd,nd->n", q[a], exact[b]) >= threshold
+            yield a[ok], b[ok]
 
 
 def audited_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int = BEAM) -> int:
@@ -225,8 +235,7 @@ def audited_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int =
     for i in range(0, len(exact), 8192):
         truth += ((exact[sample] @ exact[i : i + 8192].T) >= threshold).sum(axis=1)
     while beam < len(exact):
-        a, _ = within(graph, exact, exact[sample], threshold, beam)
-        if len(a) >= AUDIT_RECALL * truth.sum():
+        if sum(len(a) for a, _ in pairs_within(graph, exact, exact[sample], threshold, beam)) >= AUDIT_RECALL * truth.sum():
             break
         beam *= 2
     return min(beam, max(1, len(exact)))
@@ -242,7 +251,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 
     Equal vectors are one node with a count, so copies are never expanded:
-    a row links with all copies of its vector and of the vectors found for it.
+    a row links with all copies of its vector and of the vectors that its own
+    queries find.
     Null, zero and non-finite vectors, and vectors with a null component, link
     with nothing and are their own components. Vectors of different lengths
     are never compared. A null vec_id gets component_id null and is kept.
@@ -260,14 +270,14 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [np.array(r, np.float64).tobytes() for r in batch.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("dim"), pa.array(raw, pa.binary())], names=["node", "dim", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("dim"), batch.column("copies"), pa.array(raw, pa.binary())], names=["node", "dim", "copies", "raw"])
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("node")
         exact = _unit([np.frombuffer(r) for r in shard["raw"]])
         graph = Graph(exact.astype(np.float32))
         graph.x = None  # made again from the exact rows
-        made = pickle.dumps((graph, shard["node"].to_numpy(), exact))
+        made = pickle.dumps((graph, shard["node"].to_numpy(), shard["copies"].to_numpy(), exact))
         return pd.DataFrame({"dim": [shard["dim"].iloc[0]], "s": [shard["s"].iloc[0]], "graph": [made]})
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,29 +288,35 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                     yield pd.DataFrame({"dim": [dim], "asked": [part["node"].to_numpy().tobytes()], "rows": [b"".join(part["raw"])]})
 
     def search(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((2, 0), np.int64)]
+        out = [np.zeros((3, 0), np.int64)]
         for made in shard["graph"]:
-            graph, other, exact = pickle.loads(made)
+            graph, other, copies, exact = pickle.loads(made)
             graph.x = exact.astype(np.float32)
             beam = audited_beam(graph, exact, threshold)
             for asked, rows, dim in zip(queries["asked"], queries["rows"], queries["dim"], strict=True):
                 me = np.frombuffer(asked, np.int64)
-                a, b = within(graph, exact, _unit(np.frombuffer(rows).reshape(-1, dim)), threshold, beam)
-                u, v = me[a], other[b]
-                out.append(np.stack((np.minimum(u, v), np.maximum(u, v)))[:, u != v])
-        u, v = np.concatenate(out, axis=1)
-        return pd.DataFrame({"u": u, "v": v})
-
-    packed = staged(nodes.select("node", "dim", "v").mapInArrow(flat, "node long, dim int, raw binary"))
+                linked, root = np.zeros(len(me), np.int64), np.arange(len(me) + len(other))
+                for a, b in pairs_within(graph, exact, _unit(np.frombuffer(rows).reshape(-1, dim)), threshold, beam):
+                    differ = me[a] != other[b]
+                    a, b = a[differ], b[differ]
+                    np.add.at(linked, a, copies[b])
+                    root = local_roots(np.concatenate((a, np.arange(len(root)))), np.concatenate((b + len(me), root)), len(root))
+                both, tied = np.concatenate((me, other)), np.flatnonzero(root != np.arange(len(root)))
+                out.append(np.stack((both[tied], both[root[tied]], np.zeros(len(tied), np.int64))))
+                found = np.flatnonzero(linked)
+                out.append(np.stack((me[found], me[found], linked[found])))
+        u, v, n = np.concatenate(out, axis=1)
+        return pd.DataFrame({"u": u, "v": v, "n": n})
+
+    packed = staged(nodes.select("node", "dim", "copies", "v").mapInArrow(flat, "node long, dim int, copies long, raw binary"))
     graphs = staged(packed.withColumn("s", F.expr(f"cast(pmod(xxhash64(node), {shards}) as int)")).groupBy("dim", "s").applyInPandas(build, "dim int, s int, graph binary"))
     # every shard meets every block of queries; a task has one shard and about TASK_BLOCKS blocks
-    asked = packed.mapInPandas(block, "dim int, asked binary, rows binary").withColumn("t", F.expr(f"cast(pmod(xxhash64(asked), {parts}) as int)")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = packed.select("node", "dim", "raw").mapInPandas(block, "dim int, asked binary, rows binary").withColumn("t", F.expr(f"cast(pmod(xxhash64(asked), {parts}) as int)")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     place = graphs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = place.groupBy("dim", "s", "t").cogroup(asked.groupBy("dim", "s", "t")).applyInPandas(search, "u long, v long")
-    links = staged(found.distinct())
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    other = both.join(nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("linked"))
-    roots = components(links)
+    found = place.groupBy("dim", "s", "t").cogroup(asked.groupBy("dim", "s", "t")).applyInPandas(search, "u long, v long, n long")
+    links = staged(found)
+    other = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("linked"))
+    roots = components(links.where("n = 0").select("u", "v"))
     member = nodes.select("k1", "k2", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = member.join(named, "root").join(other, member["node"] == other["u"], "left").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
