@@ -360,6 +360,82 @@ def test_crawl_site_end_to_end(spark):
     assert "[b](../b/page.md)" in got["https://h.com/docs/a"]["llms_full_markdown"]
 
 
+@pytest.fixture
+def site():
+    """A site on the loopback device: (origin, requests made as (path, accept))."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    body = "<p>" + "word " * 80 + "</p>"
+    held = {
+        "/robots.txt": "User-agent: *\nDisallow: /docs/secret\nCrawl-delay: 0.01",
+        "/docs": f"<title>Docs</title>{body}<a href='/docs/a'>A</a><a href='/docs/gone'>G</a><a href='/docs/secret'>S</a><a href='/blog'>B</a><a href='/docs/x.css'>X</a>",
+        "/docs/a.md": "# A\n\n[b](/docs/b) and [far](https://far.example.org/)\n",
+        "/docs/b": f"{body}<a href='/docs/c'>c</a>",
+        "/docs/c": body,
+    }
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers.get("Accept")))
+            text = held.get(self.path)
+            self.send_response(404 if text is None else 200)
+            self.end_headers()
+            self.wfile.write((text or "").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_live_crawl(spark, site):
+    from tidewell.options import CrawlOptions
+    from tidewell.plans import commands
+
+    at, asked = site
+    options = CrawlOptions(delay_ms=1, retries=1, max_depth=2, user_agent="tester")
+    got = {r["url"].removeprefix(at): r for r in commands.crawl_live(spark, f"{at}/docs", "t", options).collect()}
+    assert {u: r["depth"] for u, r in got.items()} == {"/docs": 0, "/docs/a": 1, "/docs/b": 2}
+    assert "# A" in got["/docs/a"]["markdown"] and "[b](../b/page.md)" in got["/docs/a"]["markdown"] and "[far ↗](https://far.example.org/)" in got["/docs/a"]["markdown"]
+    paths = [p for p, _ in asked]
+    assert paths.count("/docs/gone") == 2 and paths.count("/docs/gone.md") == 1 and paths.count("/docs/a") == 0
+    assert not {"/docs/secret", "/blog", "/docs/x.css", "/docs/c"} & set(paths)
+    assert ("/docs/a.md", fetch.MARKDOWN_ACCEPT) in asked
+    few = commands.crawl_live(spark, f"{at}/docs", "t", CrawlOptions(delay_ms=0, retries=0, max_pages=2))
+    assert {r["url"].removeprefix(at) for r in few.collect()} == {"/docs", "/docs/a"}
+
+
+def test_live_scrape_of_a_list(spark, site):
+    from tidewell.options import CrawlOptions
+    from tidewell.plans import commands
+
+    at, _ = site
+    wanted = spark.createDataFrame([(f"{at}/docs/a",), (f"{at}/docs/b#x",), (f"{at}/none",), ("not a url",)], "url string")
+    got = {r["url"].removeprefix(at): r["markdown"] for r in commands.scrape_live(wanted, "t", CrawlOptions(delay_ms=0, retries=0)).collect()}
+    assert set(got) == {"/docs/a", "/docs/b"} and "[b](../b/page.md)" in got["/docs/a"]
+
+
+def test_live_requests_keep_their_distance(spark):
+    import time
+
+    t = spark.createDataFrame([(f"https://h.com/{i}", 100) for i in range(3)], "url string, delay_ms long")
+    got = fetch.live(t, get=lambda url, accept: "" if accept else f"{url} {time.monotonic()}").collect()
+    times = sorted(float(r["content"].split()[1]) for r in got)
+    assert {r["source"] for r in got} == {"html"} and all(b - a >= 0.19 for a, b in zip(times, times[1:]))
+
+
+def test_rendering_replaces_bare_pages(spark):
+    rows = [("u1", "html", "<p>short", None), ("u2", "html", "<p>short", None), ("u3", "html", "x" * 300, None), ("u4", "missing", None, "e"), ("u5", "markdown", "# m", None)]
+    t = spark.createDataFrame(rows, "url string, source string, content string, error string")
+    got = {r["url"]: r["source"] for r in fetch.rendered(t, lambda u: "y" * 300 if u == "u1" else "z").collect()}
+    assert got == {"u1": "rendered", "u2": "html", "u3": "html", "u4": "missing", "u5": "markdown"}
+
+
 # ---- command line
 
 

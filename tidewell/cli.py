@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     default = CrawlOptions()
     common = argparse.ArgumentParser(add_help=False)
     common.add_argument("-o", "--out-dir", default=default.out_dir)
-    common.add_argument("--snapshot", help="Parquet folder with pages (url, html) to fetch from instead of the network")
+    common.add_argument("--snapshot", help="Parquet folder with pages (url, html) to take pages from instead of the network")
     for name in ("concurrency", "timeout_ms", "retries", "max_depth", "max_pages", "delay_ms"):
         flag = "--" + name.removesuffix("_ms").replace("_", "-")
         common.add_argument(flag, dest=name, type=positive_int, default=getattr(default, name))

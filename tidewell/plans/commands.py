@@ -5,13 +5,16 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Callable
+from dataclasses import fields
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls
-from tidewell.operators import crawl, html, linkcheck, markdown, rewrite, robots, search
+from tidewell.operators import crawl, html, linkcheck, markdown, rewrite, robots, schedule, search
+from tidewell.options import CrawlOptions
 from tidewell.sources import corpus, fetch
 
 
@@ -37,23 +40,99 @@ def crawl_site(pages: DataFrame, start: str, fetched_at: str, max_depth: int = 4
         known = robots.allowed(known.withColumns({"origin": urls.origin("url"), "path": urls.pathname("url")}), rules).where("allowed").drop("origin", "path", "allowed")
     fetched = crawl.staged(fetch.from_snapshot(known.select("url"), known, markdown_sources, render=render))
     docs = crawl.staged(scrape(known.select("url"), fetched, fetched_at, scope))
-    from_html = fetched.where("source in ('html', 'rendered')").select("url", html.extract_content(F.col("content"), F.col("url"), F.lit(fetched_at), F.lit(scope))["links"].alias("links"))
-    from_md = fetched.where("source = 'markdown'").select("url", rewrite.markdown_links(F.col("content"), F.col("url"), F.lit(origin), F.lit(scope)).alias("links"))
-    links = crawl.staged(from_html.unionByName(from_md).select("url", F.explode("links").alias("target")))
+    links = crawl.staged(_links(fetched, fetched_at, origin, scope))
     saved = crawl.bfs(begin.select(urls.normalize_for_queue("url").alias("url")), links, max_depth, max_pages, docs)
+    return _relinked(docs, saved, scope)
+
+
+def _links(fetched: DataFrame, fetched_at: str, origin: str, scope: str) -> DataFrame:
+    """(url, target) links of fetched pages within an origin and scope."""
+    page = html.extract_content(F.col("content"), F.col("url"), F.lit(fetched_at), F.lit(scope))
+    from_html = fetched.where("source in ('html', 'rendered')").select("url", page["links"].alias("links"))
+    from_md = fetched.where("source = 'markdown'").select("url", rewrite.markdown_links(F.col("content"), F.col("url"), F.lit(origin), F.lit(scope)).alias("links"))
+    return from_html.unionByName(from_md).select("url", F.explode("links").alias("target"))
+
+
+def _relinked(docs: DataFrame, saved: DataFrame, scope: str) -> DataFrame:
+    """The saved documents, with links to one another relative."""
     out = docs.join(saved, "url").withColumn("scope", F.lit(scope))
     for column in ("markdown", "clutter_markdown", "llms_full_markdown"):
         out = rewrite.rewrite(out, saved, column)
     return out.withColumn("llms_markdown", F.col("markdown"))
 
 
+def crawl_live(spark: SparkSession, start: str, fetched_at: str, options: CrawlOptions, get: Callable[[str, str | None], str] | None = None, renderer: Callable[[str], str] | None = None) -> DataFrame:
+    """``crawl_site`` over HTTP: a level is fetched, written out, and its links make the next one.
+
+    Pages that cannot be fetched use no budget: while some is left, more of
+    the level's pages take their place. Without a readable robots.txt all
+    pages are allowed.
+    """
+    how = {"timeout_ms": options.timeout_ms, "retries": options.retries, "user_agent": options.user_agent, "get": get}
+    first = urls.canonical_url(start)
+    begin = spark.createDataFrame([(first,)], "url string").select(urls.normalize_for_queue("url").alias("url"), urls.origin("url").alias("origin"), urls.pathname(urls.normalize_for_queue("url")).alias("scope"))
+    origin, scope = begin.select("origin", "scope").first()
+    rules, delay = None, options.delay_ms
+    if options.respect_robots:
+        plain = None if get is None else (lambda url: get(url, None))
+        txt = fetch.over_http(begin.select(F.concat("origin", F.lit("/robots.txt")).alias("url")), **how | {"get": plain}).where("content is not null")
+        parsed = crawl.staged(robots.parse(txt.select(F.lit(origin).alias("origin"), F.col("content").alias("text"))))
+        rules = robots.rules_for(parsed, options.user_agent)
+        asked = robots.select_agent(parsed, options.user_agent)
+        own = begin.join(asked, "origin", "left").select(schedule.effective_delay(F.lit(float(options.delay_ms)), F.col("crawl_delay_ms")))
+        delay = int(own.first()[0])
+
+    pending = seen = crawl.staged(begin.select("url"))
+    levels, saved, depth = None, 0, 0
+    while True:
+        left = pending
+        if rules is not None:
+            left = crawl.staged(robots.allowed(left.withColumns({"origin": urls.origin("url"), "path": urls.pathname("url")}), rules).where("allowed").select("url"))
+        level = None
+        while (room := options.max_pages - saved) > 0:
+            asked = left.orderBy("url").limit(room).withColumn("delay_ms", F.lit(delay))
+            got = fetch.live(asked, **how)
+            got = crawl.staged((fetch.rendered(got, renderer) if options.render and renderer else got).withColumn("depth", F.lit(depth)))
+            level = got if level is None else level.unionByName(got)
+            n, fine = got.agg(F.count("*"), F.count_if(F.col("source") != "missing")).first()
+            saved += fine
+            if n < room:
+                break
+            left = crawl.staged(left.join(got.select("url"), "url", "left_anti"))
+        if level is None:
+            break
+        levels = level if levels is None else levels.unionByName(level)
+        if depth == options.max_depth or saved >= options.max_pages:
+            break
+        fresh = _links(level, fetched_at, origin, scope).select(F.col("target").alias("url")).distinct()
+        pending = crawl.staged(fresh.join(seen, "url", "left_anti"))
+        if pending.isEmpty():
+            break
+        seen = seen.unionByName(pending)
+        depth += 1
+    kept = levels.where("source <> 'missing'")
+    docs = crawl.staged(scrape(kept.select("url"), kept, fetched_at, scope))
+    return _relinked(docs, kept.select("url", "depth"), scope)
+
+
+def _wanted(wanted: DataFrame) -> DataFrame:
+    return wanted.select(urls.normalize_for_queue(urls.canonical("url", F.lit(None).cast("string"))).alias("url")).where("url is not null").distinct()
+
+
 def scrape_urls(pages: DataFrame, wanted: DataFrame, fetched_at: str) -> DataFrame:
     """Documents of a list of URLs, without robots or expansion; invalid URLs are left out."""
-    todo = wanted.select(urls.normalize_for_queue(urls.canonical("url", F.lit(None).cast("string"))).alias("url")).where("url is not null").distinct()
+    todo = _wanted(wanted)
     known = pages.withColumn("url", urls.normalize_for_queue("url")).groupBy("url").agg(F.min("html").alias("html"))
     return rewrite.rewrite(scrape(todo, fetch.from_snapshot(todo, known), fetched_at), todo)
 
 
+def scrape_live(wanted: DataFrame, fetched_at: str, options: CrawlOptions, get: Callable[[str, str | None], str] | None = None) -> DataFrame:
+    """``scrape_urls`` over HTTP."""
+    todo = _wanted(wanted)
+    got = crawl.staged(fetch.live(todo.withColumn("delay_ms", F.lit(options.delay_ms)), options.timeout_ms, options.retries, options.user_agent, get))
+    return rewrite.rewrite(scrape(todo, got, fetched_at), todo)
+
+
 def _session() -> SparkSession:
     return SparkSession.builder.appName("tidewell").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -77,16 +156,16 @@ def run(args: argparse.Namespace) -> int:
         changed = checked.where("changed").select(F.concat(F.lit(args.directory.rstrip("/") + "/"), "file_path").alias("path"), "content")
         print(f"updated {corpus.write_files(changed).count()} files")
         return 0
-    if not args.snapshot:
-        print("a snapshot of pages is needed: --snapshot FOLDER", file=sys.stderr)
-        return 1
-    pages = spark.read.parquet(args.snapshot)
+    options = CrawlOptions(**{f.name: getattr(args, f.name) for f in fields(CrawlOptions) if hasattr(args, f.name)})
+    pages = spark.read.parquet(args.snapshot) if args.snapshot else None
     if args.command == "crawl":
-        docs = crawl_site(pages, args.crawl_start, now, args.max_depth, args.max_pages, render=args.render)
-    elif args.command == "url":
-        docs = scrape_urls(pages, spark.createDataFrame([(args.url,)], "url string"), now)
+        if pages is None:
+            docs = crawl_live(spark, args.crawl_start, now, options)
+        else:
+            docs = crawl_site(pages, args.crawl_start, now, args.max_depth, args.max_pages, render=args.render)
     else:
-        docs = scrape_urls(pages, corpus.read_url_file(spark, args.urls_file, args.url), now)
+        wanted = spark.createDataFrame([(args.url,)], "url string") if args.command == "url" else corpus.read_url_file(spark, args.urls_file, args.url)
+        docs = scrape_live(wanted, now, options) if pages is None else scrape_urls(pages, wanted, now)
     written = corpus.write_files(corpus.page_files(docs, args.out_dir, args.clutter, args.overwrite_llms))
     print(f"wrote {written.count()} files")
     return 0

@@ -154,13 +154,14 @@ def saved_docs(spark, sf_dir):
     return p.join(after, "page_id", "left").select(F.format_string("p%06d.md", "page_id").alias("file_path"), "url", text.alias("content"))
 
 
-@query(
-    f"""WITH p AS (SELECT page_id, {s_norm('url')} AS url FROM pages), n AS (SELECT p.page_id, p.url, q.url AS nxt FROM p LEFT JOIN p q ON q.page_id = p.page_id + 1),
+_RELINKED = f"""WITH p AS (SELECT page_id, {s_norm('url')} AS url FROM pages), n AS (SELECT p.page_id, p.url, q.url AS nxt FROM p LEFT JOIN p q ON q.page_id = p.page_id + 1),
     d AS (SELECT *, string_split({s_dir('url')}, '/') AS a, string_split({s_dir('nxt')} || '/page.md', '/') AS b FROM n),
-    c AS (SELECT *, coalesce(list_min(list_filter(range(0, least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b))) AS k FROM d)
-    SELECT printf('p%06d.md', page_id) AS file_path, '---' || chr(10) || 'Source: ' || url || chr(10) || 'Fetched: x' || chr(10) || '---' || chr(10) || chr(10) || '# Page' || chr(10) || '[next](' ||
-    CASE WHEN nxt IS NULL THEN '/none' ELSE repeat('../', CAST(len(a) - k AS INTEGER)) || array_to_string(b[k + 1:], '/') || '#part' END || CASE WHEN nxt IS NULL THEN '#part' ELSE '' END || ') and [away ↗](https://away.example.org/x)' || chr(10) AS content, true AS changed FROM c"""
-)
+    c AS (SELECT *, coalesce(list_min(list_filter(range(0, least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b))) AS k FROM d),
+    done AS (SELECT page_id, url, '---' || chr(10) || 'Source: ' || url || chr(10) || 'Fetched: x' || chr(10) || '---' || chr(10) || chr(10) || '# Page' || chr(10) || '[next](' ||
+    CASE WHEN nxt IS NULL THEN '/none' ELSE repeat('../', CAST(len(a) - k AS INTEGER)) || array_to_string(b[k + 1:], '/') || '#part' END || CASE WHEN nxt IS NULL THEN '#part' ELSE '' END || ') and [away ↗](https://away.example.org/x)' || chr(10) AS content FROM c)"""
+
+
+@query(f"{_RELINKED} SELECT printf('p%06d.md', page_id) AS file_path, content, true AS changed FROM done")
 def link_check(spark, sf_dir):
     return linkcheck.link_check(saved_docs(spark, sf_dir).select("file_path", "content"))
 
@@ -170,7 +171,7 @@ def link_check_summary(spark, sf_dir):
     return linkcheck.summary(linkcheck.link_check(saved_docs(spark, sf_dir).select("file_path", "content")))
 
 
-@query()
+@query(f"{_RELINKED} SELECT url, content AS markdown FROM done")
 def rewrite_markdown(spark, sf_dir):
     docs = saved_docs(spark, sf_dir).withColumnRenamed("content", "markdown")
     return rewrite.rewrite(docs, docs.select("url")).select("url", "markdown")

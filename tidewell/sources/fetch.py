@@ -6,6 +6,7 @@ the one before had nothing for: Markdown, then HTML, then rendered HTML.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,10 @@ def from_snapshot(frontier: DataFrame, pages: DataFrame, markdown: DataFrame | N
     return out.withColumn("source", source).select("url", "source", F.expr("case source when 'markdown' then md when 'rendered' then live else html end").alias("content"))
 
 
+class StatusError(OSError):
+    """The server answered, and not with success."""
+
+
 def http_get(url: str, timeout_ms: int, user_agent: str, accept: str | None = None) -> str:
     from urllib.error import HTTPError
     from urllib.request import Request, urlopen
@@ -49,7 +54,7 @@ def http_get(url: str, timeout_ms: int, user_agent: str, accept: str | None = No
         with urlopen(Request(url, headers=headers), timeout=timeout_ms / 1000) as r:
             return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
     except HTTPError as e:
-        raise OSError(f"HTTP {e.code} {e.reason}") from e
+        raise StatusError(f"HTTP {e.code} {e.reason}") from e
 
 
 def with_retries(get: Callable[[], str], retries: int) -> tuple[str | None, str | None]:
@@ -76,3 +81,61 @@ def over_http(frontier: DataFrame, timeout_ms: int = 15_000, retries: int = 2, u
 
     plain = frontier.where(~urls.is_blocked_download(urls.pathname("url"))).select("url")
     return plain.mapInArrow(fetch, "url string, content string, error string")
+
+
+def live(frontier: DataFrame, timeout_ms: int = 15_000, retries: int = 2, user_agent: str = "tidewell", get: Callable[[str, str | None], str] | None = None) -> DataFrame:
+    """(url, delay_ms) -> url, source, content, error over HTTP, the Markdown source first.
+
+    A Markdown source that the server refuses, or that is blank, gives way to
+    the page at once; failures of the network are tried again. Requests to an
+    origin are at least its delay apart, each attempt at a source counts as
+    one; so an origin is asked by one task, others side by side. Script and
+    style files are never fetched. ``get`` (url, accept) replaces the network.
+    """
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: dict[str, float] = {}
+        ask = get or (lambda url, accept: http_get(url, timeout_ms, user_agent, accept))
+
+        def attempt(one: Callable[[], str | None], origin: str, delay_ms: int) -> tuple[str | None, str | None]:
+            time.sleep(max(0.0, free.get(origin, 0.0) - time.monotonic()))
+            free[origin] = time.monotonic() + max(delay_ms or 0, 0) / 1000
+            return with_retries(one, retries)
+
+        def markdown(url: str) -> str | None:
+            try:
+                return ask(url, MARKDOWN_ACCEPT)
+            except StatusError:
+                return None
+
+        for b in batches:
+            rows = []
+            for url, candidate, origin, delay in zip(*(b.column(c).to_pylist() for c in ("url", "candidate", "origin", "delay_ms")), strict=True):
+                md, _ = attempt(lambda u=candidate: markdown(u), origin, delay)
+                if (md or "").strip():
+                    rows.append((url, "markdown", md, None))
+                    continue
+                page, error = attempt(lambda u=url: ask(u, None), origin, delay)
+                rows.append((url, "missing" if page is None else "html", page, error))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["url", "source", "content", "error"])
+
+    todo = frontier.where(~urls.is_blocked_download(urls.pathname("url"))).select("url", F.col("delay_ms").cast("long").alias("delay_ms"), urls.markdown_candidate("url").alias("candidate"), urls.origin("url").alias("origin"))
+    return todo.repartition("origin").sortWithinPartitions("origin", "url").mapInArrow(fetch, "url string, source string, content string, error string")
+
+
+def rendered(fetched: DataFrame, renderer: Callable[[str], str], least_text: int = 200) -> DataFrame:
+    """``live``'s rows, pages without enough text as ``renderer`` (url -> html) gives them.
+
+    A render that fails or has not enough text either leaves the page as it was.
+    """
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [with_retries(lambda u=u: renderer(u), 0)[0] for u in b.column("url").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "shown"])
+
+    bare = F.coalesce((F.col("source") == "html") & ~tx.has_meaningful_text("content", least_text), F.lit(False))
+    tried = fetched.where(bare).mapInArrow(render, "url string, source string, content string, error string, shown string")
+    better = F.coalesce(tx.has_meaningful_text("shown", least_text), F.lit(False))
+    shown = tried.select("url", F.when(better, "rendered").otherwise(F.col("source")).alias("source"), F.when(better, F.col("shown")).otherwise(F.col("content")).alias("content"), "error")
+    return fetched.where(~bare).unionByName(shown)
