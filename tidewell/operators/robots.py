@@ -49,16 +49,18 @@ def rules_for(parsed: DataFrame, user_agent: str) -> DataFrame:
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages`` (with origin and path) plus ``allowed``.
 
-    Rules are literal prefixes; the longest wins and a tie allows. Paths are
-    expanded to their prefixes of the lengths that rules of any origin have,
-    so the match is an equi-join however many rules there are.
+    Rules are literal prefixes; the longest wins and a tie allows. Distinct
+    paths are expanded to all their prefixes, so the match is an equi-join
+    however many rules there are. Pages without origin or path are allowed.
     """
-    keyed = pages.withColumn("__row", F.monotonically_increasing_id())
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.call_function("substring", F.col("path"), F.lit(1), n))
     best = (
-        keyed.select("__row", "origin", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.call_function("substring", F.col("path"), F.lit(1), n))).alias("rule"))
+        pages.where("path <> ''")
+        .select("origin", "path")
+        .distinct()
+        .select("origin", "path", F.explode(prefixes).alias("rule"))
         .join(rules, ["origin", "rule"])
-        .groupBy("__row")
-        .agg(F.max(F.when(F.col("kind") == "allow", F.length("rule"))).alias("a"), F.max(F.when(F.col("kind") == "disallow", F.length("rule"))).alias("d"))
+        .groupBy("origin", "path")
+        .agg(F.max(F.when(F.col("kind") == "allow", F.length("rule"))).alias("__a"), F.max(F.when(F.col("kind") == "disallow", F.length("rule"))).alias("__d"))
     )
-    out = keyed.join(best, "__row", "left")
-    return out.withColumn("allowed", F.coalesce("a", F.lit(0)) >= F.coalesce("d", F.lit(0))).drop("__row", "a", "d")
+    return pages.join(best, ["origin", "path"], "left").select(*pages.columns, (F.coalesce("__a", F.lit(0)) >= F.coalesce("__d", F.lit(0))).alias("allowed"))
