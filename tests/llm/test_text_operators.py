@@ -291,6 +291,20 @@ def test_packing_round_trip(spark):
     assert len(by) <= -(-sum(w[3] for w in want) // 4096) + 1
 
 
+def test_packing_encodes_decomposed_words_as_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    words = ["cafe\u0301", "u\u0308", "(Cafe\u0301)", "q\u0301!", "\u0301e.", "\u0958!", "\u0130!", "a\u0130.", "\u0915\u0947", "\u1100\u1161!", "A\u030a-", "caf\u00e9,"]
+    words += [f"{a}{chr(c)}{b}" for c in range(0x2C0, 0x3000) for a in ("", "e", "!") for b in ("", "\u0301", "!") if chr(c).isprintable()]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.chunk_encoder(packing.default_tokenizer())(words)]
+    assert [w for w, g in zip(words, got, strict=True) if g != tokenizer.encode(w, add_special_tokens=False).ids] == []
+    text = " ".join(words)
+    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    pieces = packing.packed(docs(spark, [(1, text)])).orderBy("piece").collect()
+    assert [(x["start"], x["length"], x["ids_crc32"]) for x in pieces] == [(k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)]
+
+
 def test_local_search_empties_bins():
     # best fit leaves four bins where three hold everything
     lengths = [6, 4, 5, 5, 5, 5]

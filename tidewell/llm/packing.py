@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -42,6 +43,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _apart(chunk: str, word: str, trail: str) -> bool:
+    """Whether no mark of ``trail`` joins ``word``, nor one that lower case makes of it joins ``trail``."""
+    return unicodedata.is_normalized("NFC", chunk) and "İ" not in word and not (trail and unicodedata.category(trail[0])[0] == "M")
+
+
 @lru_cache(maxsize=1)
 def chunk_encoder(path: str):
     """Function texts -> list of little-endian id bytes; one per worker process.
@@ -50,7 +56,8 @@ def chunk_encoder(path: str):
     cut at blanks and each distinct chunk is encoded once while remembered.
     Chunks of letters with other signs around them are cut into those parts,
     which are encoded many to a text and told apart by the tokens that end a
-    word.
+    word; chunks whose letters and signs the tokenizer's normalizers may join
+    are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -77,7 +84,7 @@ def chunk_encoder(path: str):
     def learn(chunks: set[str]) -> None:
         plain, rest = [], []
         for c in chunks:
-            if m := _PLAIN.fullmatch(c):
+            if (m := _PLAIN.fullmatch(c)) and (c.isascii() or _apart(c, m[2], m[3])):
                 lead, word, trail = m.groups()
                 low = word.lower()
                 plain.append((c, lead, low if len(low) == len(word) and "Σ" not in word else word, trail))
