@@ -139,6 +139,30 @@ def test_queries_with_full_beams_meet_the_whole_shard(monkeypatch):
     assert len(found) == len(set(found)) and {p for p in found if p[0] < 900} == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i < 900}
 
 
+def test_links_count_for_both_ends(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((40, 16))
+    vectors = [(i, (centres[i % 40] + r.standard_normal(16) * 0.08).tolist()) for i in range(160)] + [(200 + i, (centres[0] + r.standard_normal(16) * 0.02).tolist()) for i in range(60)]
+    vectors += [(300, vectors[0][1]), (301, vectors[3][1])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = hnsw.pairs_within
+
+    def one_sided(graph, exact, q, threshold, beam, wide=None):
+        """As if searches of vectors that are not wide found a link from one side only."""
+        wide = np.zeros(len(q), bool) if wide is None else wide
+        sure = wide.copy()
+        for a, b in whole(graph, exact, q, threshold, beam, wide):
+            ok = sure[a] | (q[a, 0] <= exact[b, 0])
+            yield a[ok], b[ok]
+
+    monkeypatch.setattr(hnsw, "pairs_within", one_sided)
+    monkeypatch.setattr(hnsw, "audited_beam", lambda *a, **k: hnsw.BEAM)
+    want = brute(vectors)
+    for least in (5, 64):  # with and without wide vectors
+        monkeypatch.setattr(hnsw, "WIDE", least)
+        assert {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in hnsw.near_duplicates(table).collect()} == want
+
+
 # ---- components
 
 

@@ -4,9 +4,11 @@ Distinct unit vectors are dealt by hash into shards. Each shard holds a
 hierarchical navigable small-world graph; every vector queries every shard.
 A query's beam is widened while its whole beam is within the threshold, and
 all beams are widened until an audit of sampled queries against brute force
-passes. Candidates are verified by cosine in double precision. A search task
-returns how many links each query found and a spanning forest of them, so a
-group of near copies never becomes all its pairs.
+passes. Candidates are verified by cosine in double precision. A link counts
+for both its ends, whichever found it: a search task returns its links as
+pairs, but only counts for wide vectors, those with so many links in their own
+shard that they are compared with every row, and a spanning forest of all. So
+a group of near copies never becomes all its pairs.
 
 Graph steps run for many queries at once in numpy.
 """
@@ -34,6 +36,8 @@ BUILD_BEAM = 32
 BEAM = 24
 #: Beams stay below this width; queries that fill them are compared with the whole shard.
 WIDEST = 1_536
+#: Links in its own shard from which a vector is wide: compared with all rows of every shard, and counted without pairs.
+WIDE = 64
 AUDIT_QUERIES = 200
 AUDIT_RECALL = 0.98
 QUERY_BLOCK = 4_096
@@ -199,15 +203,17 @@ def _beam_block(x, near, q, entry, beam):
     return np.where(np.isneginf(sims), -1, ids), sims
 
 
-def pairs_within(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_within(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int, wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) pairs found with cosine >= threshold, verified in double precision, in bounded parts.
 
     ``q`` and ``exact`` (the graph's rows) are float64 unit vectors. A query
     whose beam ends inside the threshold searches again with one four times
     as wide; where that would be ``WIDEST`` or more it is compared with all
-    rows. No pair comes twice.
+    rows, as those marked in ``wide`` are at once. Marks are set for the
+    queries that were compared with all rows. No pair comes twice.
     """
-    todo, slack = np.arange(len(q)), threshold - 1e-4  # float32 search, double verification
+    wide = np.zeros(len(q), bool) if wide is None else wide
+    todo, slack = np.flatnonzero(~wide), threshold - 1e-4  # float32 search, double verification
     while len(todo) and beam < min(WIDEST, len(exact)):
         full = np.zeros(len(todo), bool)
         for i in range(0, len(todo), 512):
@@ -219,6 +225,8 @@ def pairs_within(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: floa
             ok = np.einsum("nd,nd->n", q[a], exact[b]) >= threshold
             yield a[ok], b[ok]
         todo, beam = todo[full], beam * 4
+    wide[todo] = True
+    todo = np.flatnonzero(wide)
     for i in range(0, len(todo), 256):
         for j in range(0, len(exact), 4096):
             rows, cols = np.nonzero(q[todo[i : i + 256]] @ exact[j : j + 4096].T >= slack)
@@ -241,6 +249,12 @@ def audited_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int =
     return min(beam, max(1, len(exact)))
 
 
+def wide_rows(exact: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Marks of the rows with ``least`` links or more among the rows, by comparing all."""
+    x = exact.astype(np.float32)
+    return np.concatenate([((x[i : i + 1024] @ x.T) >= threshold).sum(axis=1) > least for i in range(0, len(x), 1024)])
+
+
 def _unit(values) -> np.ndarray:
     v = np.array(values, np.float64)
     v /= np.abs(v).max(axis=1, keepdims=True)
@@ -252,7 +266,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     Equal vectors are one node with a count, so copies are never expanded:
     a row links with all copies of its vector and of the vectors that its own
-    queries find.
+    queries find or whose queries find it.
     Null, zero and non-finite vectors, and vectors with a null component, link
     with nothing and are their own components. Vectors of different lengths
     are never compared. A null vec_id gets component_id null and is kept.
@@ -277,49 +291,55 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         exact = _unit([np.frombuffer(r) for r in shard["raw"]])
         graph = Graph(exact.astype(np.float32))
         graph.x = None  # made again from the exact rows
-        made = pickle.dumps((graph, shard["node"].to_numpy(), shard["copies"].to_numpy(), exact))
-        return pd.DataFrame({"dim": [shard["dim"].iloc[0]], "s": [shard["s"].iloc[0]], "graph": [made]})
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, same in batch.groupby("dim"):
-                for i in range(0, len(same), QUERY_BLOCK):
-                    part = same.iloc[i : i + QUERY_BLOCK]
-                    yield pd.DataFrame({"dim": [dim], "asked": [part["node"].to_numpy().tobytes()], "rows": [b"".join(part["raw"])]})
+        node, copies, wide = shard["node"].to_numpy(), shard["copies"].to_numpy(), wide_rows(exact, threshold, WIDE)
+        rows = [(pickle.dumps((graph, node, copies, wide, exact)), None)]
+        for i in range(0, len(shard), QUERY_BLOCK):
+            part = slice(i, i + QUERY_BLOCK)
+            rows.append((None, pickle.dumps((node[part], copies[part], wide[part], exact[part]))))
+        return pd.DataFrame({"dim": shard["dim"].iloc[0], "s": shard["s"].iloc[0], "graph": [r[0] for r in rows], "asked": [r[1] for r in rows]})
 
     def search(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((3, 0), np.int64)]
+        out = [np.zeros((4, 0), np.int64)]
         for made in shard["graph"]:
-            graph, other, copies, exact = pickle.loads(made)
+            graph, other, copies, wide, exact = pickle.loads(made)
             graph.x = exact.astype(np.float32)
             beam = audited_beam(graph, exact, threshold)
-            for asked, rows, dim in zip(queries["asked"], queries["rows"], queries["dim"], strict=True):
-                me = np.frombuffer(asked, np.int64)
+            for asked in queries["asked"]:
+                me, my_copies, mine, q = pickle.loads(asked)
                 linked, root = np.zeros(len(me), np.int64), np.arange(len(me) + len(other))
-                for a, b in pairs_within(graph, exact, _unit(np.frombuffer(rows).reshape(-1, dim)), threshold, beam):
+                for a, b in pairs_within(graph, exact, q, threshold, beam, mine.copy()):
                     differ = me[a] != other[b]
                     a, b = a[differ], b[differ]
-                    np.add.at(linked, a, copies[b])
                     root = local_roots(np.concatenate((a, np.arange(len(root)))), np.concatenate((b + len(me), root)), len(root))
+                    counted = mine[a]
+                    np.add.at(linked, a[counted], copies[b[counted]])
+                    tell = ~(counted & wide[b])
+                    a, b = a[tell], b[tell]
+                    # what the link adds to each end; nothing to a wide one, which is counted
+                    add_a, add_b = np.where(mine[a], 0, copies[b]), np.where(wide[b], 0, my_copies[a])
+                    swap = me[a] > other[b]
+                    out.append(np.stack([np.where(swap, y, x) for x, y in ((me[a], other[b]), (other[b], me[a]), (add_a, add_b), (add_b, add_a))]))
                 both, tied = np.concatenate((me, other)), np.flatnonzero(root != np.arange(len(root)))
-                out.append(np.stack((both[tied], both[root[tied]], np.zeros(len(tied), np.int64))))
+                out.append(np.stack((both[tied], both[root[tied]], np.zeros(len(tied), np.int64), np.zeros(len(tied), np.int64))))
                 found = np.flatnonzero(linked)
-                out.append(np.stack((me[found], me[found], linked[found])))
-        u, v, n = np.concatenate(out, axis=1)
-        return pd.DataFrame({"u": u, "v": v, "n": n})
+                out.append(np.stack((me[found], me[found], linked[found], np.zeros(len(found), np.int64))))
+        u, v, n, m = np.concatenate(out, axis=1)
+        return pd.DataFrame({"u": u, "v": v, "n": n, "m": m})
 
     packed = staged(nodes.select("node", "dim", "copies", "v").mapInArrow(flat, "node long, dim int, copies long, raw binary"))
-    graphs = staged(packed.withColumn("s", F.expr(f"cast(pmod(xxhash64(node), {shards}) as int)")).groupBy("dim", "s").applyInPandas(build, "dim int, s int, graph binary"))
+    graphs = staged(packed.withColumn("s", F.expr(f"cast(pmod(xxhash64(node), {shards}) as int)")).groupBy("dim", "s").applyInPandas(build, "dim int, s int, graph binary, asked binary"))
     # every shard meets every block of queries; a task has one shard and about TASK_BLOCKS blocks
-    asked = packed.select("node", "dim", "raw").mapInPandas(block, "dim int, asked binary, rows binary").withColumn("t", F.expr(f"cast(pmod(xxhash64(asked), {parts}) as int)")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    place = graphs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = place.groupBy("dim", "s", "t").cogroup(asked.groupBy("dim", "s", "t")).applyInPandas(search, "u long, v long, n long")
+    asked = graphs.where("asked is not null").select("dim", "asked").withColumn("t", F.expr(f"cast(pmod(xxhash64(asked), {parts}) as int)")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    place = graphs.where("graph is not null").select("dim", "s", "graph").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = place.groupBy("dim", "s", "t").cogroup(asked.groupBy("dim", "s", "t")).applyInPandas(search, "u long, v long, n long, m long")
     links = staged(found)
-    other = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("linked"))
-    roots = components(links.where("n = 0").select("u", "v"))
+    counted = links.where("u = v").select(F.col("u").alias("end"), "n")
+    pairs = links.where("u <> v and (n > 0 or m > 0)").distinct().select(F.explode(F.array(F.struct(F.col("u").alias("end"), "n"), F.struct(F.col("v").alias("end"), F.col("m").alias("n")))).alias("e")).select("e.*")
+    other = counted.unionByName(pairs).groupBy("end").agg(F.sum("n").alias("linked"))
+    roots = components(links.where("n = 0 and m = 0").select("u", "v"))
     member = nodes.select("k1", "k2", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = member.join(named, "root").join(other, member["node"] == other["u"], "left").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    of = member.join(named, "root").join(other, member["node"] == other["end"], "left").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     joined = hashed.select("vec_id", "k1", "k2").join(of, ["k1", "k2"])
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull())
     good = joined.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").withColumn("kept", kept)
