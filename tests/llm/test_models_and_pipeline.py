@@ -139,6 +139,25 @@ def test_queries_with_full_beams_meet_the_whole_shard(monkeypatch):
     assert len(found) == len(set(found)) and {p for p in found if p[0] < 900} == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i < 900}
 
 
+def test_audit_sees_few_links():
+    r = np.random.default_rng(7)
+    x = r.standard_normal((2000, 32))
+    x[:10] = x[10:20] + r.standard_normal((10, 32)) * 0.02
+    x = hnsw._unit(x)
+
+    class Shy(hnsw.Graph):
+        """Narrow beams find the query itself alone."""
+
+        def search(self, q, beam):
+            ids, sims = super().search(q, beam)
+            if beam < 90:
+                ids[:, 1:], sims[:, 1:] = -1, -np.inf
+            return ids, sims
+
+    shy = Shy(x.astype(np.float32))
+    assert hnsw.audited_beam(shy, x, 0.95) == 96
+
+
 def test_links_count_for_both_ends(spark, monkeypatch):
     r = np.random.default_rng(6)
     centres = r.standard_normal((40, 16))

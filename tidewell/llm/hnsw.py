@@ -3,8 +3,8 @@
 Distinct unit vectors are dealt by hash into shards. Each shard holds a
 hierarchical navigable small-world graph; every vector queries every shard.
 A query's beam is widened while its whole beam is within the threshold, and
-all beams are widened until an audit of sampled queries against brute force
-passes. Candidates are verified by cosine in double precision. A link counts
+all beams are widened until an audit of sampled queries of all shards against
+brute force passes. Candidates are verified by cosine in double precision. A link counts
 for both its ends, whichever found it: a search task returns its links as
 pairs, but only counts for wide vectors, those with so many links in their own
 shard that they are compared with every row, and a spanning forest of all. So
@@ -39,6 +39,7 @@ WIDEST = 1_536
 #: Links in its own shard from which a vector is wide: compared with all rows of every shard, and counted without pairs.
 WIDE = 64
 AUDIT_QUERIES = 200
+AUDIT_LINKED = 200
 AUDIT_RECALL = 0.98
 QUERY_BLOCK = 4_096
 #: Blocks of queries that a task runs against its shard (expected).
@@ -235,15 +236,35 @@ def pairs_within(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: floa
             yield a[ok], b[ok]
 
 
-def audited_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int = BEAM) -> int:
-    """Widen the beam until sampled rows' links come back; brute force on the sample is the measure."""
-    r = np.random.default_rng(5)
-    sample = r.choice(len(exact), min(AUDIT_QUERIES, len(exact)), replace=False)
-    truth = np.zeros(len(sample), np.int64)
-    for i in range(0, len(exact), 8192):
-        truth += ((exact[sample] @ exact[i : i + 8192].T) >= threshold).sum(axis=1)
-    while beam < len(exact):
-        if sum(len(a) for a, _ in pairs_within(graph, exact, exact[sample], threshold, beam)) >= AUDIT_RECALL * truth.sum():
+def audited_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int = BEAM, q: np.ndarray | None = None, own: np.ndarray | None = None) -> int:
+    """Widen the beam until sampled queries' links come back; brute force on the sample is the measure.
+
+    ``own`` has each query's place among the rows, -1 where it is none; a
+    query's match with itself is no link. The sample doubles until
+    ``AUDIT_LINKED`` of its queries have a link or all are in it. The recall
+    is the mean over the queries that have a link. Without ``q`` the rows
+    themselves are the queries.
+    """
+    if q is None:
+        q, own = exact, np.arange(len(exact))
+    order = np.random.default_rng(5).permutation(len(q))
+    x, truth, done = exact.astype(np.float32), np.zeros(len(q), np.int64), 0
+    while done < len(q) and np.count_nonzero(truth) < AUDIT_LINKED:
+        more = max(AUDIT_QUERIES, done)
+        for i in range(done, min(len(q), done + more), 256):
+            part = order[i : min(i + 256, done + more)]
+            rows, cols = np.nonzero(q[part].astype(np.float32) @ x.T >= threshold - 1e-4)
+            for j in range(0, len(rows), 65_536):
+                a, b = part[rows[j : j + 65_536]], cols[j : j + 65_536]
+                ok = (np.einsum("nd,nd->n", q[a], exact[b]) >= threshold) & (own[a] != b)
+                np.add.at(truth, a[ok], 1)
+        done += more
+    linked = np.flatnonzero(truth)
+    while len(linked) and beam < len(exact):
+        found = np.zeros(len(linked), np.int64)
+        for a, b in pairs_within(graph, exact, q[linked], threshold, beam):
+            np.add.at(found, a[own[linked[a]] != b], 1)
+        if (found / truth[linked]).mean() >= AUDIT_RECALL:
             break
         beam *= 2
     return min(beam, max(1, len(exact)))
@@ -303,9 +324,14 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         for made in shard["graph"]:
             graph, other, copies, wide, exact = pickle.loads(made)
             graph.x = exact.astype(np.float32)
-            beam = audited_beam(graph, exact, threshold)
-            for asked in queries["asked"]:
-                me, my_copies, mine, q = pickle.loads(asked)
+            blocks = [pickle.loads(asked) for asked in queries["asked"]]
+            if not blocks:
+                continue
+            # wide queries meet all rows, so the others are audited, of all shards
+            rest = np.concatenate([me[~mine] for me, _, mine, _ in blocks])
+            place = np.minimum(np.searchsorted(other, rest), len(other) - 1)
+            beam = audited_beam(graph, exact, threshold, BEAM, np.concatenate([q[~mine] for _, _, mine, q in blocks]), np.where(other[place] == rest, place, -1))
+            for me, my_copies, mine, q in blocks:
                 linked, root = np.zeros(len(me), np.int64), np.arange(len(me) + len(other))
                 for a, b in pairs_within(graph, exact, q, threshold, beam, mine.copy()):
                     differ = me[a] != other[b]
