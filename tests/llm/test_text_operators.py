@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewell.llm import chat, decontam, linededup, packing, pii, secrets, simhash, tokencount
 
@@ -124,6 +125,20 @@ def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     assert decontam.contamination(docs(spark, rows), bench.where("false")).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+def test_decontaminated_in_blocks_is_the_same(spark, monkeypatch):
+    w = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[8:20])), (3, " ".join(w[25:35])), (4, " ".join(["left", *w[30:34], "right", "a", "b", "c", "d"]))]
+    joined = " ".join([*w[25:30], *w[8:20], *w[30:35]])  # cutting item 2 brings item 3 together
+    rows = [(1, "start " + " ".join(w[:20]) + " end"), (2, "x, " + joined + " y"), (3, None), (4, "clean Text"), (5, "")]
+    table = docs(spark, rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("spans", F.lit("own"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontam.decontaminated(table, bench).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontam, "ITEMS_BYTES", 10)
+    assert decontam.decontaminated(table, bench).orderBy("doc_id").collect() == whole
+    assert decontam.decontaminated(table, bench.orderBy(F.desc("item_id"))).orderBy("doc_id").collect() == whole
+    assert [x["text"] for x in whole] == ["start  end", "x,  y", None, "clean Text", ""] and whole[0]["n_chars"] == 10 and {x["spans"] for x in whole} == {"own"}
+
+
 def test_fm_index_finds_all_occurrences():
     r = np.random.default_rng(1)
     seq = np.concatenate([np.append(r.integers(1, 4, n), 0) for n in (5, 1, 40, 40, 200)])

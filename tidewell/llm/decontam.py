@@ -237,33 +237,90 @@ def decontaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Dat
 
     A text is cut again while words on both sides of a cut form a window.
     n_chars, where there is one, follows the text. Texts without a hit come
-    back as they are, nulls as nulls.
+    back as they are, nulls as nulls. A benchmark beyond ``ITEMS_BYTES`` is
+    marked block by block and cut once by the union, in staged rounds until
+    no block hits.
     """
-    schema = docs.schema
-    has_n = "n_chars" in docs.columns
-    for windows in _blocks(bench, size):
-
-        def clean(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for piece, texts in text_steps(batches, SHARD_CHARS):
-                todo = list(range(len(texts)))
-                changed = set()
-                while todo:
-                    counts, hit, firsts, found = windows.hits([texts[i] for i in todo])
-                    again = [k for k, x in enumerate(found) if x]
-                    for k in again:
-                        texts[todo[k]] = cut(texts[todo[k]], hit[firsts[k] : firsts[k] + counts[k]])
-                    todo = [todo[k] for k in again]
-                    changed.update(todo)
-                if changed:
-                    names = piece.schema.names
-                    columns = list(piece.columns)
-                    old = columns[names.index("text")].to_pylist()
-                    columns[names.index("text")] = pa.array([texts[i] if i in changed else t for i, t in enumerate(old)], piece.schema.field("text").type)
-                    if has_n:
-                        k = names.index("n_chars")
-                        columns[k] = pa.array([len(texts[i]) if i in changed else n for i, n in enumerate(columns[k].to_pylist())], piece.schema.field("n_chars").type)
-                    piece = pa.RecordBatch.from_arrays(columns, schema=piece.schema)
-                yield piece
-
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+    blocks = _blocks(bench, size)
+    windows = next(blocks)
+    if next(blocks, None) is not None:
+        return _cut_by_blocks(docs, bench, size)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in text_steps(batches, SHARD_CHARS):
+            todo = list(range(len(texts)))
+            changed = set()
+            while todo:
+                counts, hit, firsts, _ = windows.hits([texts[i] for i in todo])
+                own = [hit[f : f + c] for f, c in zip(firsts.tolist(), counts.tolist(), strict=True)]
+                again = [k for k, x in enumerate(own) if x.any()]
+                for k in again:
+                    texts[todo[k]] = cut(texts[todo[k]], own[k])
+                todo = [todo[k] for k in again]
+                changed.update(todo)
+            yield _with_texts(piece, texts, changed)
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _with_texts(piece: pa.RecordBatch, texts: list[str], changed: set[int]) -> pa.RecordBatch:
+    """``piece`` with the texts of the ``changed`` rows, and n_chars with them."""
+    if not changed:
+        return piece
+    names, columns = piece.schema.names, list(piece.columns)
+    for name, value in (("text", lambda t: t), ("n_chars", len)):
+        if name in names:
+            k = names.index(name)
+            columns[k] = pa.array([value(texts[i]) if i in changed else old for i, old in enumerate(columns[k].to_pylist())], piece.schema.field(name).type)
+    return pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+
+
+def _cut_by_blocks(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
+    """Rounds of marking the words that any block hits and cutting them.
+
+    The marks are a column of spans, null where a text is done.
+    """
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+
+    def cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in text_steps(batches, SHARD_CHARS):
+            marks, changed = piece.column(spans).to_pylist(), set()
+            for i, said in enumerate(marks):
+                if said:
+                    texts[i] = cut(texts[i], _marked(len(words_of(texts[i])), said))
+                    changed.add(i)
+            piece = _with_texts(piece, texts, changed)
+            k = piece.schema.names.index(spans)
+            yield piece.set_column(k, piece.schema.field(k), pa.array(["" if said else None for said in marks], piece.schema.field(k).type))
+
+    now = docs.withColumn(spans, F.when(F.lit(True), F.lit("")))
+    while True:
+        for windows in _blocks(bench, size):
+
+            def mark(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
+                for piece, texts in text_steps(batches, SHARD_CHARS):
+                    marks = piece.column(spans).to_pylist()
+                    live = [i for i, said in enumerate(marks) if said is not None]
+                    counts, hit, firsts, _ = windows.hits([texts[i] for i in live])
+                    for i, c, f in zip(live, counts.tolist(), firsts.tolist(), strict=True):
+                        own = hit[f : f + c] | _marked(c, marks[i])
+                        edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).tolist()
+                        marks[i] = ",".join(f"{a}:{b}" for a, b in zip(edge[::2], edge[1::2], strict=True))
+                    k = piece.schema.names.index(spans)
+                    yield piece.set_column(k, piece.schema.field(k), pa.array(marks, piece.schema.field(k).type))
+
+            now = staged(now.mapInArrow(mark, now.schema))
+        if now.where(F.col(spans) != "").isEmpty():
+            return now.drop(spans)
+        now = staged(now.mapInArrow(cut_marked, now.schema))
+
+
+def _marked(n: int, spans: str) -> np.ndarray:
+    """Marks of the words of ``first:end`` spans among ``n`` words."""
+    own = np.zeros(n, bool)
+    for s in spans.split(",") if spans else ():
+        a, b = map(int, s.split(":"))
+        own[a:b] = True
+    return own
