@@ -272,6 +272,34 @@ def test_chat_links_quotes_and_orders_replies(spark):
     assert chat.formatted(table.where("false")).count() == 0
 
 
+def test_chat_links_interleaved_and_trimmed_quotes(spark):
+    rows = [
+        (1, 0, "u", "First line\nSecond line\nThird line"),
+        (1, 1, "a", "something else"),
+        (1, 2, "u", "> First  line\nyes\n> third line\nno"),
+        (1, 3, "a", "> second line\n> Third line\ntrimmed"),
+        (1, 4, "u", "> > Something else\n> yes\nouter line before whole deeper passage"),
+        (1, 5, "a", "> Third\nnot a line"),
+        (2, 0, "u", "one\ntwo"),
+        (2, 1, "u", "one"),
+        (2, 2, "u", "two"),
+        (2, 3, "u", "> one\n> two"),
+    ]
+    got = {(x["conv_id"], x["turn"]): (x["parent_turn"], x["root_turn"], x["depth"]) for x in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {
+        (1, 0): (None, 0, 0),
+        (1, 1): (None, 1, 0),
+        (1, 2): (0, 0, 1),
+        (1, 3): (0, 0, 1),
+        (1, 4): (2, 0, 2),
+        (1, 5): (None, 5, 0),
+        (2, 0): (None, 0, 0),
+        (2, 1): (None, 1, 0),
+        (2, 2): (None, 2, 0),
+        (2, 3): (0, 0, 1),
+    }
+
+
 def test_chat_long_chains(spark):
     rows = [(7, i, "u", (f"> said {i - 1}\n" if i else "") + f"said {i}") for i in range(70)]
     got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -2,8 +2,9 @@
 
 Lines are parsed for nested quote levels, neighbouring lines of one level form
 passages, and the normalised text of a quoted passage is hashed and joined to
-the message of the same conversation that said it. The nearest earlier
-message that a turn quotes is its parent; messages are then ordered so that
+the message of the same conversation that said it; where no passage of a level
+is found whole, as in interleaved and trimmed replies, its single lines are.
+The nearest earlier message that a turn quotes is its parent; messages are then ordered so that
 each follows its parent, and their text is given without quotes.
 """
 
@@ -17,17 +18,28 @@ from tidewell.llm.common import staged
 _MARKS = "regexp_extract({}, '^((?:[ \\\\t]*>)*)', 1)"
 
 
+def _lines(messages: DataFrame) -> DataFrame:
+    """``messages`` with their lines: quote level, and body in lower case with runs of blanks as one blank."""
+    folded = "trim(regexp_replace(lower({}), '[ \\\\t\\\\r\\\\n]+', ' '))"
+    return messages.withColumn(
+        "lines",
+        F.expr(f"transform(split(text, '\\n', -1), l -> named_struct('level', length(replace(replace({_MARKS.format('l')}, ' ', ''), '\\t', '')), 'body', {folded.format(f'substring(l, length({_MARKS.format("l")}) + 1)')}))"),
+    )
+
+
+def said_lines(messages: DataFrame) -> DataFrame:
+    """One row per non-blank line: conv_id, turn, level, h1, h2."""
+    each = _lines(messages).select("conv_id", "turn", F.explode(F.expr("filter(lines, l -> l.body <> '')")).alias("l"))
+    return each.select("conv_id", "turn", F.col("l.level").alias("level"), F.xxhash64("l.body").alias("h1"), F.xxhash64(F.lit(1), "l.body").alias("h2"))
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """One row per passage: conv_id, turn, level (0: own words), part, h1, h2.
 
     A passage is a run of non-blank lines of one quote level; its hash is of
     its lines in lower case with runs of blanks as one blank.
     """
-    folded = "trim(regexp_replace(lower({}), '[ \\\\t\\\\r\\\\n]+', ' '))"
-    lines = messages.withColumn(
-        "lines",
-        F.expr(f"transform(split(text, '\\n', -1), l -> named_struct('level', length(replace(replace({_MARKS.format('l')}, ' ', ''), '\\t', '')), 'body', {folded.format(f'substring(l, length({_MARKS.format("l")}) + 1)')}))"),
-    )
+    lines = _lines(messages)
     # a passage begins where the level changes or a blank line ends
     starts = "filter(sequence(0, size(lines) - 1), i -> lines[i].body <> '' and (i = 0 or lines[greatest(i - 1, 0)].body = '' or lines[greatest(i - 1, 0)].level <> lines[i].level))"
     cut = lines.withColumn("starts", F.expr(starts)).select("conv_id", "turn", "lines", F.expr("posexplode(transform(starts, (s, k) -> named_struct('s', s, 'e', coalesce(get(starts, k + 1), size(lines)))))").alias("part", "span"))
@@ -35,17 +47,24 @@ def passages(messages: DataFrame) -> DataFrame:
     return cut.select("conv_id", "turn", F.expr("lines[span.s].level").alias("level"), "part", F.expr(said).alias("said")).select("conv_id", "turn", "level", "part", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"))
 
 
-def parents(parts: DataFrame) -> DataFrame:
+def parents(parts: DataFrame, lines: DataFrame) -> DataFrame:
     """(conv_id, turn, parent): the latest earlier turn whose own passage the turn quotes.
 
-    Passages quoted at the outermost level decide; deeper ones only where no
-    outer one is found.
+    What is quoted at the outermost level decides; deeper levels only where
+    no outer one is found. Within a level whole passages decide; its single
+    lines only where no passage is found.
     """
-    quoted = parts.where("level > 0").select("conv_id", "h1", "h2", F.col("turn").alias("turn"), "level").distinct()
-    own = parts.where("level = 0").select("conv_id", "h1", "h2", F.col("turn").alias("said_in")).distinct()
-    # a passage that is said again and again has few saying turns that matter to one quote: the latest before it
+    met = _met(parts, 0).unionByName(_met(lines, 1))
+    return met.groupBy("conv_id", "turn").agg(F.min_by("said_in", F.struct("level", "kind")).alias("parent"))
+
+
+def _met(said: DataFrame, kind: int) -> DataFrame:
+    """(conv_id, turn, level, kind, said_in): the latest turn that says what each turn quotes at each level."""
+    quoted = said.where("level > 0").select("conv_id", "h1", "h2", F.col("turn").alias("turn"), "level").distinct()
+    own = said.where("level = 0").select("conv_id", "h1", "h2", F.col("turn").alias("said_in")).distinct()
+    # what is said again and again has few saying turns that matter to one quote: the latest before it
     met = quoted.join(own, ["conv_id", "h1", "h2"]).where("said_in < turn").groupBy("conv_id", "turn", "level").agg(F.max("said_in").alias("said_in"))
-    return met.groupBy("conv_id", "turn").agg(F.min_by("said_in", "level").alias("parent"))
+    return met.withColumn("kind", F.lit(kind))
 
 
 def _threads(links: DataFrame) -> DataFrame:
@@ -70,8 +89,8 @@ def formatted(table: DataFrame) -> DataFrame:
     as one message with the other. Other columns are ignored.
     """
     messages = table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = passages(messages.where("conv_id is not null and turn is not null"))
-    links = staged(parents(parts))
+    known = messages.where("conv_id is not null and turn is not null")
+    links = staged(parents(passages(known), said_lines(known)))
     threads = _threads(links).join(links, ["conv_id", "turn"])
     level = f"length({_MARKS.format('l')}) > 0"
     clean = messages.withColumns(
