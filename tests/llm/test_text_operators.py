@@ -139,6 +139,14 @@ def test_decontaminated_in_blocks_is_the_same(spark, monkeypatch):
     assert [x["text"] for x in whole] == ["start  end", "x,  y", None, "clean Text", ""] and whole[0]["n_chars"] == 10 and {x["spans"] for x in whole} == {"own"}
 
 
+def test_decontamination_marks_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, "four five")], "item_id long, text string")
+    table = docs(spark, [(1, "x one two three y"), (2, "four five z")])
+    got = {x["doc_id"]: (x["n_hit"], list(x["items"]), x["spans"]) for x in decontam.contamination(table, bench).collect()}
+    assert got == {1: (3, [], "1:4"), 2: (2, [7], "0:2")}
+    assert {x["doc_id"]: x["text"] for x in decontam.decontaminated(table, bench).collect()} == {1: "x  y", 2: " z"}
+
+
 def test_fm_index_finds_all_occurrences():
     r = np.random.default_rng(1)
     seq = np.concatenate([np.append(r.integers(1, 4, n), 0) for n in (5, 1, 40, 40, 200)])

@@ -122,13 +122,15 @@ class FmIndex:
 class Windows:
     """The windows of some benchmark items, by length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], size: int = WINDOW) -> None:
         self.symbols: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for item, text in items:
             ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
             for i in range(max(0, len(ids) - size) + 1 if ids else 0):
-                owners[tuple(ids[i : i + size])].add(item)
+                own = owners[tuple(ids[i : i + size])]
+                if item is not None:  # without an id it hits, but has no name
+                    own.add(item)
         by: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for w in owners:
             by[len(w)].append(w)
@@ -178,9 +180,9 @@ def _blocks(bench: DataFrame, size: int) -> Iterator[Windows]:
         items.append((r[0], r[1]))
         held += len(r[1] or "")
         if held >= ITEMS_BYTES:
-            yield Windows([x for x in items if x[0] is not None], size)
+            yield Windows(items, size)
             items, held = [], 0
-    yield Windows([x for x in items if x[0] is not None], size)
+    yield Windows(items, size)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -188,8 +190,8 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
 
     spans are the merged hit words as ``first:end`` word numbers, end
     exclusive, comma-joined. Null or empty texts have no words and no hits;
-    items without words have no windows and items with a null id are left
-    out; an empty benchmark hits nothing. Repeated rows are scored each.
+    items without words have no windows; words of items with a null id are
+    hit, and only the id is left out of items; an empty benchmark hits nothing. Repeated rows are scored each.
     A benchmark beyond ``ITEMS_BYTES`` is applied in blocks, one staged pass
     for each, so what is sent to executors is bounded.
     """
