@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: worker's memory however many rows an Arrow batch holds; a single longer
 #: text is still taken whole.
 STEP_CHARS = 2_000_000
+#: Input behind one file of a written table at least, where there are more files than tasks that can run.
+FILE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def compact(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than twice the cores or, beyond those, one for ``FILE_BYTES`` of ``docs``.
+
+    Without it a small table that went through many shuffle partitions is
+    written as as many tiny files. No rows are moved.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(size // FILE_BYTES, 1 << 30)))
+
+
+def staged(df: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in files as for ``docs`` where given.
 
     This cuts the lineage with files that outlive any executor, and keeps
     columns prunable for the readers. Nothing reads the shuffle files behind a
     written stage again, so they go at once and not with the driver's garbage.
     """
     spark = df.sparkSession
+    if docs is not None:
+        df = compact(df, docs)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")

@@ -34,10 +34,13 @@ CHUNK = 64
 
 _SPLIT = "split(text, '\\n', -1)"
 _TRIM = "btrim({}, ' \\t\\r')"
+_DOC = ["named", "doc_id", "th"]
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    """named, doc_id, th, text: a null doc_id is not named and 0, so that plain keys hold all rows."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return named.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def _reach(n: str) -> str:
@@ -55,10 +58,10 @@ def _ends() -> str:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line_no, h1, h2, n, ends: the lines that are not blank, without their text."""
-    every = _identified(docs).select("doc_id", "th", F.posexplode(F.expr(_SPLIT)).alias("line_no", "raw"))
-    line = every.select("doc_id", "th", "line_no", F.expr(_TRIM.format("raw")).alias("line")).where("line <> ''").withColumn("n", F.length("line"))
-    return line.select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", F.expr(_ends()).alias("ends"))
+    """named, doc_id, th, line_no, h1, h2, n, ends: the lines that are not blank, without their text."""
+    every = _identified(docs).select(*_DOC, F.posexplode(F.expr(_SPLIT)).alias("line_no", "raw"))
+    line = every.select(*_DOC, "line_no", F.expr(_TRIM.format("raw")).alias("line")).where("line <> ''").withColumn("n", F.length("line"))
+    return line.select(*_DOC, "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", F.expr(_ends()).alias("ends"))
 
 
 def _two_members(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,15 +95,16 @@ def _near(docs: DataFrame, first: DataFrame) -> DataFrame:
     ends = first.select("h1", "h2", F.explode("ends").alias("key"))
     sharing = ends.join(_two_members(ends, ["key"]), "key").select("h1", "h2").distinct()
     chosen = first.join(sharing, ["h1", "h2"], "left_semi").unionByName(first.where(f"n <= {SHORT}")).select("h1", "h2", "pos")
-    wanted = chosen.groupBy(F.col("pos.doc_id").alias("wanted_id"), F.col("pos.th").alias("wanted_th")).agg(F.collect_list(F.struct("h1", "h2", "pos")).alias("wanted"))
-    source = _identified(docs)
-    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["wanted_id"]) & (source["th"] == wanted["wanted_th"])).select(F.expr(_SPLIT).alias("all"), F.explode("wanted").alias("w"))
-    texts = texts.select("w.h1", "w.h2", "w.pos", F.expr(_TRIM.format("get(all, w.pos.line_no)")).alias("line")).where(F.xxhash64("line") == F.col("h1")).dropDuplicates(["h1", "h2"])
-    texts = staged(texts.withColumn("n", F.length("line")))
+    wanted = chosen.groupBy(*(F.col(f"pos.{c}").alias(c) for c in _DOC)).agg(F.collect_list(F.struct("h1", "h2", "pos")).alias("wanted"))
+    # one shuffle of the texts, for the repeated rows and for the join; then only the wanted lines go on
+    source = _identified(docs).groupBy(*_DOC).agg(F.any_value("text").alias("text")).join(wanted, _DOC)
+    texts = source.select(F.expr(_SPLIT).alias("all"), F.explode("wanted").alias("w"))
+    texts = texts.select("w.h1", "w.h2", "w.pos", F.expr(_TRIM.format("get(all, w.pos.line_no)")).alias("line")).where(F.xxhash64("line") == F.col("h1"))
+    texts = staged(texts.withColumn("n", F.length("line")), docs)
 
     chunks = _chunks(texts)
     chunks = chunks.join(_two_members(chunks, ["k1", "k2"]), ["k1", "k2"])
-    variants = staged(_variants(chunks))
+    variants = staged(_variants(chunks), docs)
     who = F.struct("pos", "h1", "h2")
     least = lambda role: F.min(F.when(F.col("role") == role, who)).alias(role)
     met = variants.groupBy("v1", "v2").agg(least("replaced"), F.max(F.when(F.col("role") == "replaced", who)).alias("last"), least("deleted"), least("full")).where("(deleted is not null and full is not null) or replaced <> last").drop("last")
@@ -124,17 +128,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Other columns may have any names but those added; ones of the same name
     are replaced.
     """
-    lines = staged(_lines(docs))
-    pos = F.struct("doc_id", "line_no", "th").alias("pos")
-    first = staged(lines.select("h1", "h2", "n", "ends", pos).groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.any_value("ends").alias("ends"), F.count("*").alias("times")))
-    near = staged(_near(docs, first))
+    lines = staged(_lines(docs), docs)
+    pos = F.struct("named", "doc_id", "line_no", "th").alias("pos")
+    first = staged(lines.select("h1", "h2", "n", "ends", pos).groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.any_value("ends").alias("ends"), F.count("*").alias("times")), docs)
+    near = staged(_near(docs, first), docs)
     act = first.join(near, ["h1", "h2"], "left").where("times > 1 or near is not null").select("h1", "h2", F.least("pos", "near").alias("stays"))
     gone = lines.select("h1", "h2", pos).join(act, ["h1", "h2"]).where("pos > stays")
-    drops = gone.groupBy(F.col("pos.doc_id").alias("__doc_id"), F.col("pos.th").alias("__th")).agg(F.collect_set("pos.line_no").alias("__drops"))
+    drops = gone.groupBy(*(F.col(f"pos.{c}").alias(f"__{c}") for c in _DOC)).agg(F.collect_set("pos.line_no").alias("__drops"))
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     named = docs.select(*kept, F.xxhash64(F.col("text").cast("string")).alias("__text"))
-    joined = named.join(drops, named["doc_id"].cast("long").eqNullSafe(drops["__doc_id"]) & (named["__text"] == drops["__th"]), "left")
+    same = (named["doc_id"].isNotNull() == drops["__named"]) & (F.coalesce(named["doc_id"].cast("long"), F.lit(0)) == drops["__doc_id"]) & (named["__text"] == drops["__th"])
+    joined = named.join(drops, same, "left")
     rest = "array_except(sequence(0, size(__all) - 1), __drops)"
     cut = joined.withColumn("__all", F.expr(_SPLIT)).withColumn("__new", F.expr(f"case when __drops is null then text else array_join(transform({rest}, i -> get(__all, i)), '\\n') end"))
     made = {"text": F.col("__new"), "n_chars": F.length("__new").cast("long")}

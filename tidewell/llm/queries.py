@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import chat, decontam, hnsw, linededup, packing, pii, secrets, simhash, tokencount, toxicity
-from tidewell.llm.common import table
+from tidewell.llm.common import compact, table
 from tidewell.llm.oracles import ORACLE  # noqa: F401
 
 
@@ -37,8 +37,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.deduplicated(docs)
+    return compact(kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256")), docs)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
