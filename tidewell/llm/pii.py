@@ -71,7 +71,7 @@ def finder():
                     start_ip = at
                     if start_ip >= ip and (m := _IP.match(text, at)):
                         ip = m.end()
-                        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (g.lstrip("0") for g in m.groups())):  # any run of zeros may lead
                             out.append(("ip", at, ip))
                 if at >= card and (m := _CARD.match(text, at)):
                     card = m.end()
