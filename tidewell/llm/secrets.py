@@ -1,7 +1,8 @@
 """Secrets: Aho-Corasick keyword prefilter, anchored expressions near the hits, checksums.
 
-Regular expressions are only tried where the automaton found a keyword. Runs
-of hexadecimal digits have no keyword; a plain scan for long runs finds them.
+Regular expressions are only tried where the automaton found a keyword. The
+keywords of hexadecimal runs are all groups of four such digits; the first
+group in a run is where it begins, as a shorter run is too short to report.
 Tokens that embed a checksum of themselves are reported only if it holds.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
+from itertools import product
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -20,7 +23,9 @@ KINDS = (*BASE, "token")
 
 _ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]{16,}")
+_HEX = re.compile(r"[0-9a-f]+")
+#: Length of the groups of hexadecimal digits that are keywords.
+GROUP = 4
 #: Three letters, an underscore, 30 letters or digits and six base-62 digits of their CRC-32.
 _TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -37,6 +42,7 @@ def base62(n: int, width: int = 6) -> str:
     return out.rjust(width, "0")
 
 
+@lru_cache(maxsize=1)
 def finder():
     """Gives the function text -> spans; spans of a kind never overlap."""
     words = ahocorasick.Automaton()
@@ -45,16 +51,23 @@ def finder():
     for w in PREFIXED:
         words.add_word(w, ("token", len(w)))
     words.add_word("akia", ("access", 4))
+    for g in product("0123456789abcdef", repeat=GROUP):
+        words.add_word("".join(g), ("hex", GROUP))
     words.make_automaton()
 
     def find(text: str) -> list[Span]:
         out: list[Span] = []
-        ended = {"assign": 0, "access": 0, "token": 0}
+        ended = {"assign": 0, "access": 0, "token": 0, "hex": 0}
         hits = sorted((last + 1 - size, kind) for last, (kind, size) in words.iter(folded(text)))
         for at, kind in hits:
             if at < ended[kind]:
                 continue
-            if kind == "assign":
+            if kind == "hex":
+                if m := _HEX.match(text, at):  # upper case digits are none
+                    ended[kind] = m.end()
+                    if m.end() - at >= 16:
+                        out.append((kind, at, m.end()))
+            elif kind == "assign":
                 if m := _ASSIGN.match(text, at):
                     ended[kind] = m.end()
                     if len(m[1]) >= 12:
@@ -67,7 +80,6 @@ def finder():
             elif (m := _TOKEN.match(text, at)) and base62(zlib.crc32(m[1].encode())) == m[2]:
                 ended[kind] = m.end()
                 out.append((kind, at, m.end()))
-        out += [("hex", *m.span()) for m in _HEX.finditer(text)]
         return out
 
     return find
