@@ -156,73 +156,69 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 50) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty the emptiest underfull bins by moves, 1-1 and 2-1 exchanges.
 
     Every step raises the sum of squared fills: items go from the emptiest
-    bin to a fuller one, or the fuller one swaps for a larger item of it.
-    Stops at the bound of total length over capacity or when no step is left.
+    bin to a fuller one, or the fuller one swaps for a larger item, or for two
+    that are larger together. That sum is bounded, so the search ends: at the
+    bound of total length over capacity, or when no step is left.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = sum(map(bool, bins))
-    stuck: set[int] = set()
-    for _ in range(rounds * max(1, live)):
-        if live <= least:
+    bins = [list(b) for b in bins]
+    size = np.array(lengths, np.int64)
+    where = np.zeros(len(size), np.int64)
+    for b, items in enumerate(bins):
+        where[items] = b
+    fill = np.bincount(where, size, len(bins)).astype(np.int64) if len(size) else np.zeros(len(bins), np.int64)
+    least, live = -(-int(size.sum()) // capacity), sum(map(bool, bins))
+    open_items = np.flatnonzero(fill[where] < capacity)  # bins that are full stay as they are
+    stuck = np.zeros(len(bins), bool)
+    while live > least:
+        free = np.where((fill > 0) & (fill < capacity) & ~stuck, fill, capacity)
+        small = int(free.argmin()) if len(free) else 0
+        if not len(free) or free[small] == capacity:
             break
-        under = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b not in stuck]
-        if len(under) < 2:
-            break
-        small = min(under, key=lambda b: (fill[b], b))
-        others = sorted((b for b in range(len(bins)) if b != small and bins[b] and fill[b] < capacity), key=lambda b: (-fill[b], b))
-        if not _step(bins, fill, lengths, capacity, small, others):
-            stuck.add(small)
+        step = _step(bins, size, where, fill, open_items, small, capacity)
+        if step is None:
+            stuck[small] = True
             continue
+        into, give, take = step
+        for source, to, items in ((small, into, give), (into, small, take)):
+            moved = set(items)
+            bins[source] = [i for i in bins[source] if i not in moved]
+            bins[to] += items
+            where[items] = to
+            fill[source] -= size[items].sum()
+            fill[to] += size[items].sum()
         if not bins[small]:
             live -= 1
-            stuck.clear()
+            stuck[:] = False
     return [b for b in bins if b]
 
 
-def _step(bins, fill, lengths, capacity, small, others) -> bool:
-    mine = sorted(bins[small], key=lambda i: (-lengths[i], i))
-
-    def shift(into: int, give: list[int], take: list[int]) -> bool:
-        for i in give:
-            bins[small].remove(i)
-            bins[into].append(i)
-        for i in take:
-            bins[into].remove(i)
-            bins[small].append(i)
-        gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-        fill[into] += gain
-        fill[small] -= gain
-        return True
-
-    for b in others:
-        room = capacity - fill[b]
-        for i in mine:  # move
-            if lengths[i] <= room:
-                return shift(b, [i], [])
-    for b in others:
-        if fill[b] < fill[small]:
-            continue
-        room = capacity - fill[b]
-        theirs = sorted((lengths[i], i) for i in bins[b])
-        best = None
-        for i in mine:  # one for one: the largest gain that fits
-            k = bisect_left(theirs, (lengths[i] - room, -1))
-            if k < len(theirs) and theirs[k][0] < lengths[i] and (best is None or lengths[i] - theirs[k][0] > best[0]):
-                best = (lengths[i] - theirs[k][0], [i], [theirs[k][1]])
-        for x in range(min(len(mine), 30)):  # two for one
-            for y in range(x + 1, min(len(mine), 30)):
-                both = lengths[mine[x]] + lengths[mine[y]]
-                k = bisect_left(theirs, (both - room, -1))
-                if k < len(theirs) and theirs[k][0] < both and (best is None or both - theirs[k][0] > best[0]):
-                    best = (both - theirs[k][0], [mine[x], mine[y]], [theirs[k][1]])
-        if best:
-            return shift(b, best[1], best[2])
-    return False
+def _step(bins, size, where, fill, open_items, small: int, capacity: int) -> tuple[int, list[int], list[int]] | None:
+    """What ``small`` gives to the fullest bin that allows a step, and takes back; None without any."""
+    mine: dict[int, list[int]] = {}
+    for i in bins[small]:  # items of one length serve alike, and few lengths fit in a bin
+        mine.setdefault(int(size[i]), []).append(i)
+    room = np.where((fill >= fill[small]) & (fill < capacity), capacity - fill, 0)
+    room[small] = 0
+    fits = np.where(room >= min(mine), fill, -1)
+    if len(fits) and fits[into := int(fits.argmax())] >= 0:
+        return into, [mine[max(n for n in mine if n <= room[into])][0]], []
+    ns = sorted(mine)
+    give = {x + y: [mine[x][0], mine[y][x == y]] for i, x in enumerate(ns) for y in ns[i:] if x != y or len(mine[x]) > 1}
+    give |= {n: [mine[n][0]] for n in ns}
+    most = np.zeros(capacity + 1, np.int64)  # the largest sum up to a bound
+    most[list(give)] = list(give)
+    most = np.maximum.accumulate(most)
+    theirs = size[open_items]
+    space = room[where[open_items]]
+    gain = np.where(space > 0, most[np.minimum(theirs + space, capacity)] - theirs, 0)
+    if not len(gain) or gain.max() <= 0:
+        return None
+    best = int(np.where(gain > 0, fill[where[open_items]] * (capacity + 1) + gain, 0).argmax())
+    return int(where[open_items[best]]), give[int(theirs[best] + gain[best])], [int(open_items[best])]
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -234,7 +230,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     number of groups follows the number of rows, so a group stays about as
     large; each costs at most one underfull sequence.
     """
-    cut = staged(pieces(docs, tokenizer, capacity))
+    cut = staged(pieces(docs, tokenizer, capacity), docs)
     groups = max(1, -(-cut.count() // GROUP_DOCS))
 
     def pack(one: pd.DataFrame) -> pd.DataFrame:
