@@ -12,34 +12,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontam, linededup, packing, simhash, toxicity
-from tidewell.llm.common import shared_dir, table
+from tidewell.llm.common import compact, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network rejects go."""
-    return toxicity.accepted(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+    return compact(toxicity.accepted(docs.select(COLUMNS), table(spark, sf_dir, "labels")), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and near-repeated lines are cut from the texts."""
-    return linededup.deduplicated(docs.select(COLUMNS)).select(COLUMNS)
+    return compact(linededup.deduplicated(docs.select(COLUMNS)).select(COLUMNS), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints one document stays."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    return compact(simhash.keep_one(docs.select(COLUMNS)), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut from the texts."""
-    return decontam.decontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    return compact(decontam.decontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token pieces placed in sequences."""
-    return packing.packed(docs)
+    return compact(packing.packed(docs), docs)
 
 
 STAGES = [

@@ -67,15 +67,15 @@ def _met(said: DataFrame, kind: int) -> DataFrame:
     return met.withColumn("kind", F.lit(kind))
 
 
-def _threads(links: DataFrame) -> DataFrame:
+def _threads(links: DataFrame, messages: DataFrame) -> DataFrame:
     """(conv_id, turn, root_turn, depth) of linked turns by pointer doubling."""
-    now = staged(links.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")))
+    now = staged(links.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")), messages)
     while True:
         up = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
         moved = now.join(up, ["conv_id", "up"], "left")
         if moved.where("far is not null").isEmpty():
             return now.withColumnRenamed("up", "root_turn")
-        now = staged(moved.select("conv_id", "turn", F.coalesce("far", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        now = staged(moved.select("conv_id", "turn", F.coalesce("far", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), messages)
 
 
 def formatted(table: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def formatted(table: DataFrame) -> DataFrame:
     """
     messages = table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = messages.where("conv_id is not null and turn is not null")
-    links = staged(parents(passages(known), said_lines(known)))
-    threads = _threads(links).join(links, ["conv_id", "turn"])
+    links = staged(parents(passages(known), said_lines(known)), table)
+    threads = _threads(links, table).join(links, ["conv_id", "turn"])
     level = f"length({_MARKS.format('l')}) > 0"
     clean = messages.withColumns(
         {

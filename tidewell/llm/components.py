@@ -35,14 +35,15 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["y"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(u, v) longs -> (node, root): root is the smallest node reachable.
 
     Only nodes with an edge to another node appear. Loops, repeated edges and
     rows with a null end add nothing. An empty table gives an empty table.
+    ``docs`` is what the edges came from; written tables get files as for it.
     """
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v")
-    now = staged(ends.distinct())
+    now = staged(ends.distinct(), docs)
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        now = staged(small)
+        now = staged(small, docs)
         if (after := _mark(now)) == mark:
             break
         mark = after

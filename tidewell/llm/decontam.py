@@ -200,7 +200,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
         if out is None:
             source = id_text(docs).select("doc_id", "text", F.array().cast("array<long>").alias("items"), F.lit("").alias("spans"))
         else:
-            source = staged(out)
+            source = staged(out, docs)
 
         def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
             for piece, texts in text_steps(batches, SHARD_CHARS):

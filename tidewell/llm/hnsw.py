@@ -297,7 +297,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     usable = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
     marked = rows.withColumn("ok", F.coalesce(F.expr(usable), F.lit(False)))
     hashed = marked.where("ok").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
-    nodes = staged(hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("v").alias("v")).withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("v")}))
+    nodes = staged(hashed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("v").alias("v")).withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("v")}), table)
     total = nodes.count()
     shards = max(SHARDS, -(-total // SHARD))
     parts = max(1, -(-total // (TASK_BLOCKS * QUERY_BLOCK)))
@@ -358,11 +358,11 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     asked = graphs.where("asked is not null").select("dim", "asked").withColumn("t", F.expr(f"cast(pmod(xxhash64(asked), {parts}) as int)")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     place = graphs.where("graph is not null").select("dim", "s", "graph").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = place.groupBy("dim", "s", "t").cogroup(asked.groupBy("dim", "s", "t")).applyInPandas(search, "u long, v long, n long, m long")
-    links = staged(found)
+    links = staged(found, table)
     counted = links.where("u = v").select(F.col("u").alias("end"), "n")
     pairs = links.where("u <> v and (n > 0 or m > 0)").distinct().select(F.explode(F.array(F.struct(F.col("u").alias("end"), "n"), F.struct(F.col("v").alias("end"), F.col("m").alias("n")))).alias("e")).select("e.*")
     other = counted.unionByName(pairs).groupBy("end").agg(F.sum("n").alias("linked"))
-    roots = components(links.where("n = 0 and m = 0").select("u", "v"))
+    roots = components(links.where("n = 0 and m = 0").select("u", "v"), table)
     member = nodes.select("k1", "k2", "node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = member.join(named, "root").join(other, member["node"] == other["end"], "left").select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))

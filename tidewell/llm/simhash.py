@@ -116,7 +116,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int
     return every[tied], every[root[tied]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, docs: DataFrame | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v): edges that span all their links."""
     quarter = [F.expr(f"bit_count(shiftrightunsigned(fp, {16 * k}) & 65535)").cast("int").alias(f"q{k}") for k in range(4)]
     n = distinct.count()
@@ -146,7 +146,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     ours = heads.select("b", "lo", "hi", F.explode(F.sequence(F.expr("lo[0]"), F.expr("hi[0]"))).alias("z"))
     theirs = heads.select(F.col("b").alias("c"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.expr(f"greatest(lo[0] - {radius}, 0)"), F.expr(f"least(hi[0] + {radius}, 16)"))).alias("z"))
     gap = " + ".join(f"greatest(0, lo2[{k}] - hi[{k}], lo[{k}] - hi2[{k}])" for k in range(4))
-    pairs = staged(ours.join(theirs, "z").where(f"b <= c and {gap} <= {radius}").select("b", "c").distinct())
+    pairs = staged(ours.join(theirs, "z").where(f"b <= c and {gap} <= {radius}").select("b", "c").distinct(), docs)
     x, y = blocks.select("b", F.col("fps").alias("x")), blocks.select(F.col("b").alias("c"), F.col("fps").alias("y"))
     work = pairs.join(x, "b").join(y, "c")
 
@@ -170,9 +170,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     never names a component unless nothing else is in it (then it is null).
     Further columns are ignored; an empty table gives an empty table.
     """
-    fps = staged(fingerprints(docs))
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), radius))
+    fps = staged(fingerprints(docs), docs)
+    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), docs)
+    roots = components(links(distinct.select("fp"), radius, docs=docs), docs)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = member.join(named, "root").select("fp", "component_id")
