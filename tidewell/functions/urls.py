@@ -174,6 +174,18 @@ def normalize_source_value(value) -> Column:
     return F.when(v == "", F.lit(None).cast("string")).when(v.rlike(link), pick_source_candidate(label, href)).when(v.rlike(r"^<.+>$"), F.nullif(auto, F.lit(""))).otherwise(v)
 
 
+#: What a path may hold as it is; all else is percent-encoded.
+PATH_SAFE = r"A-Za-z0-9/%:@!$&'()*+,;=._~\[\]|\^-"
+
+
+def percent_encoded(url) -> Column:
+    """A URL without query and fragment with its unsafe and non-ASCII characters percent-encoded (UTF-8)."""
+    u = _col(url)
+    parts = F.regexp_extract_all(u, F.lit(f"[{PATH_SAFE}]+|[^{PATH_SAFE}]+"), F.lit(0))
+    code = lambda p: F.when(p.rlike(f"^[{PATH_SAFE}]"), p).otherwise(F.regexp_replace(F.url_encode(p), r"\+", "%20"))
+    return F.when(u.rlike(f"[^{PATH_SAFE}]"), F.array_join(F.transform(parts, code), "")).otherwise(u)
+
+
 # ---- native resolution for plain references
 
 

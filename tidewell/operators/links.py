@@ -20,10 +20,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(url, html) -> url, pos, href, target: links within the page's origin.
 
     Native form for double-quoted plain references; pages, fragments and
-    queries are normalised away and files that hold no page left out.
+    queries are normalised away, paths percent-encoded and files that hold no
+    page left out.
     """
     found = pages.select("url", "html", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("pos", "href")).where("href <> ''")
-    target = urls.normalize_for_queue(urls.resolve_plain(F.col("href"), F.col("url")))
+    target = urls.percent_encoded(urls.normalize_for_queue(urls.resolve_plain(F.col("href"), F.col("url"))))
     out = found.select("url", "pos", "href", target.alias("target"))
     return out.where((urls.origin("target") == urls.origin("url")) & urls.is_html_candidate(urls.pathname("target")))
 

@@ -8,13 +8,13 @@ from tidewell.functions import urls
 from tidewell.operators import html, linkcheck, rewrite, robots
 from tidewell.operators import links as lk
 from tidewell.plans.catalog import query, sql_text, table
-from tidewell.plans.q_urls import s_dir, s_norm, s_origin, s_path
+from tidewell.plans.q_urls import s_dir, s_encoded, s_norm, s_origin, s_path
 from tidewell.sources import corpus, fetch
 
 _RESOLVED = f"""CASE WHEN regexp_matches(href, '^https?://[^/?#]+$') THEN href || '/' WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-z]+):', 1) || ':' || href
     WHEN href LIKE '/%' THEN {s_origin('url')} || href WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href WHEN href LIKE '?%' THEN {s_origin('url')} || {s_path('url')} || href END"""
 _LINKS = f"""a AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS hs FROM pages), h AS (SELECT page_id, url, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS pos FROM a),
-    r AS (SELECT page_id, url, pos, href, {s_norm(f'({_RESOLVED})')} AS target FROM h WHERE href <> ''),
+    r AS (SELECT page_id, url, pos, href, {s_encoded(s_norm(f'({_RESOLVED})'))} AS target FROM h WHERE href <> ''),
     links AS (SELECT * FROM r WHERE {s_origin('target')} = {s_origin('url')} AND NOT regexp_matches(lower({s_path('target')}), '\\.({urls.BLOCKED})$'))"""
 
 
@@ -188,23 +188,6 @@ def markdown_page_links(spark, sf_dir):
     return p.select("page_id", F.array_join(rewrite.markdown_links(text, F.col("url"), F.col("o"), F.lit("/")), ",").alias("links"))
 
 
-@query()
-def html_to_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
-
-
-@query()
-def strip_clutter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.clutter_of("html").alias("c")).select("page_id", "c.*")
-
-
-@query()
-def extract_content(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    d = html.extract_content(F.col("html"), F.col("url"), F.lit("2024-01-01T00:00:00.000Z"))
-    return p.select("page_id", "url", d.alias("d")).select("page_id", "d.title", "d.links", "d.markdown", "d.clutter_markdown", "d.llms_markdown", "d.llms_full_markdown")
-
-
 @query(f"WITH {_LINKS} SELECT page_id, CAST(count(DISTINCT target) AS BIGINT) AS n_links FROM links GROUP BY page_id")
 def tree_link_counts(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

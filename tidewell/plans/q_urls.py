@@ -31,6 +31,11 @@ def s_norm(u: str) -> str:
     return f"regexp_replace({u}, '[?#].*$', '')"
 
 
+def s_encoded(u: str) -> str:
+    safe = urls.PATH_SAFE.replace("'", "''")
+    return f"array_to_string(list_transform(regexp_extract_all({u}, '[{safe}]+|[^{safe}]+'), lambda p: CASE WHEN regexp_matches(p, '^[{safe}]') THEN p ELSE url_encode(p) END), '')"
+
+
 def s_snake(x: str) -> str:
     return f"coalesce(nullif(lower(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), ''), 'index')"
 
