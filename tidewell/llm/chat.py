@@ -10,11 +10,14 @@ each follows its parent, and their text is given without quotes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import staged
 
+#: Turns in a range within which quotes are matched first.
+TURNS = 256
+
 _MARKS = "regexp_extract({}, '^((?:[ \\\\t]*>)*)', 1)"
 
 
@@ -59,12 +62,22 @@ def parents(parts: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _met(said: DataFrame, kind: int) -> DataFrame:
-    """(conv_id, turn, level, kind, said_in): the latest turn that says what each turn quotes at each level."""
-    quoted = said.where("level > 0").select("conv_id", "h1", "h2", F.col("turn").alias("turn"), "level").distinct()
-    own = said.where("level = 0").select("conv_id", "h1", "h2", F.col("turn").alias("said_in")).distinct()
-    # what is said again and again has few saying turns that matter to one quote: the latest before it
-    met = quoted.join(own, ["conv_id", "h1", "h2"]).where("said_in < turn").groupBy("conv_id", "turn", "level").agg(F.max("said_in").alias("said_in"))
-    return met.withColumn("kind", F.lit(kind))
+    """(conv_id, turn, level, kind, said_in): the latest turn that says what each turn quotes at each level.
+
+    Quotes and sayings of a text meet in order of turns, in ranges of
+    ``TURNS`` turns and then over the ranges' last sayings, so that what a long
+    conversation says and quotes again and again makes no pairs.
+    """
+    key = ["conv_id", "h1", "h2"]
+    each = said.select(*key, "turn", "level")
+    quoted = each.where("level > 0").distinct()
+    own = each.where("level = 0").join(quoted.select(key).distinct(), key, "left_semi").distinct()
+    rows = quoted.unionByName(own).withColumns({"reach": F.expr(f"turn div {TURNS}"), "said": F.when(F.col("level") == 0, F.col("turn"))})
+    near = F.max("said").over(Window.partitionBy(*key, "reach").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    far = F.max("last").over(Window.partitionBy(*key).orderBy("reach").rowsBetween(Window.unboundedPreceding, -1))
+    before = rows.groupBy(*key, "reach").agg(F.max("said").alias("last")).select(*key, "reach", far.alias("far"))
+    found = rows.withColumn("near", near).where("level > 0").join(before, [*key, "reach"]).withColumn("said_in", F.coalesce("near", "far")).where("said_in is not null")
+    return found.groupBy("conv_id", "turn", "level").agg(F.max("said_in").alias("said_in")).withColumn("kind", F.lit(kind))
 
 
 def _threads(links: DataFrame, messages: DataFrame) -> DataFrame:
