@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 #: text is still taken whole.
 STEP_CHARS = 2_000_000
 #: Input behind one file of a written table at least, where there are more files than tasks that can run.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
+#: Bytes of an Arrow batch, about: rows are as large as texts and blocks are.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +95,25 @@ def text_steps(batches: Iterator[pa.RecordBatch], step_chars: int = STEP_CHARS):
                 begin, held = i + 1, 0
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with its session's Arrow batches held to ``BATCH_BYTES``."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step``; what a task no longer holds goes back to the system at its end, not with the idle worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, whatever else the input carries."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_text, staged, text_steps
+from tidewell.llm.common import id_text, lean, small_batches, staged, text_steps
 
 WINDOW = 10
 #: Characters of text in a shard, and of benchmark text sent to the executors at once.
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
                 items = [sorted(x | set(old)) for x, old in zip(found, piece.column("items").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.string()), pa.array(counts), pa.array(n_hit, pa.int64())], names=["doc_id", "text", "items", "spans", "n_words", "n_hit"])
 
-        out = source.select("doc_id", "text", "items", "spans").mapInArrow(scan, "doc_id long, text string, items array<long>, spans string, n_words long, n_hit long")
+        out = source.select("doc_id", "text", "items", "spans").mapInArrow(lean(scan), "doc_id long, text string, items array<long>, spans string, n_words long, n_hit long")
     return out.select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
@@ -262,7 +262,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Dat
                 changed.update(todo)
             yield _with_texts(piece, texts, changed)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return small_batches(docs).mapInArrow(lean(clean), docs.schema)
 
 
 def _with_texts(piece: pa.RecordBatch, texts: list[str], changed: set[int]) -> pa.RecordBatch:
@@ -297,7 +297,7 @@ def _cut_by_blocks(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
             k = piece.schema.names.index(spans)
             yield piece.set_column(k, piece.schema.field(k), pa.array(["" if said else None for said in marks], piece.schema.field(k).type))
 
-    now = docs.withColumn(spans, F.when(F.lit(True), F.lit("")))
+    now = small_batches(docs).withColumn(spans, F.when(F.lit(True), F.lit("")))
     while True:
         for windows in _blocks(bench, size):
 
@@ -313,10 +313,10 @@ def _cut_by_blocks(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
                     k = piece.schema.names.index(spans)
                     yield piece.set_column(k, piece.schema.field(k), pa.array(marks, piece.schema.field(k).type))
 
-            now = staged(now.mapInArrow(mark, now.schema))
+            now = staged(now.mapInArrow(lean(mark), now.schema))
         if now.where(F.col(spans) != "").isEmpty():
             return now.drop(spans)
-        now = staged(now.mapInArrow(cut_marked, now.schema))
+        now = staged(now.mapInArrow(lean(cut_marked), now.schema))
 
 
 def _marked(n: int, spans: str) -> np.ndarray:

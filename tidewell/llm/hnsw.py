@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import staged
+from tidewell.llm.common import lean, small_batches, staged
 from tidewell.llm.components import components, local_roots
 
 THRESHOLD = 0.95
@@ -352,7 +352,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         u, v, n, m = np.concatenate(out, axis=1)
         return pd.DataFrame({"u": u, "v": v, "n": n, "m": m})
 
-    packed = staged(nodes.select("node", "dim", "copies", "v").mapInArrow(flat, "node long, dim int, copies long, raw binary"))
+    packed = staged(small_batches(nodes).select("node", "dim", "copies", "v").mapInArrow(lean(flat), "node long, dim int, copies long, raw binary"))
     graphs = staged(packed.withColumn("s", F.expr(f"cast(pmod(xxhash64(node), {shards}) as int)")).groupBy("dim", "s").applyInPandas(build, "dim int, s int, graph binary, asked binary"))
     # every shard meets every block of queries; a task has one shard and about TASK_BLOCKS blocks
     asked = graphs.where("asked is not null").select("dim", "asked").withColumn("t", F.expr(f"cast(pmod(xxhash64(asked), {parts}) as int)")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

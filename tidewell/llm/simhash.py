@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_text, staged, text_steps
+from tidewell.llm.common import id_text, lean, small_batches, staged, text_steps
 from tidewell.llm.components import components, local_roots
 
 SHINGLE = 4
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(of, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(lean(of), "doc_id long, fp long")
 
 
 def quarters(fp: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, docs: D
         if held and len(every := np.concatenate(held)):
             yield out(every)
 
-    blocks = ordered.select("fp").mapInArrow(pack, "fps binary, lo array<int>, hi array<int>").withColumn("b", F.monotonically_increasing_id())
+    blocks = ordered.select("fp").mapInArrow(lean(pack), "fps binary, lo array<int>, hi array<int>").withColumn("b", F.monotonically_increasing_id())
     blocks = staged(blocks)
     # block pairs that the counts allow: equal values of the first quarter's count meet, the rest is a filter
     heads = blocks.select("b", "lo", "hi")
@@ -158,7 +158,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, docs: D
                 u, v = forest(x, None if one["b"] == one["c"] else np.frombuffer(one["y"][0], np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return work.select("b", "c", "x", "y").repartition(max(1, min(pairs.count(), 4096)), "b", "c").mapInArrow(compare, "u long, v long")
+    return small_batches(work).select("b", "c", "x", "y").repartition(max(1, min(pairs.count(), 4096)), "b", "c").mapInArrow(lean(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import id_text, text_steps
+from tidewell.llm.common import id_text, lean, text_steps
 
 Span = tuple[str, int, int]
 
@@ -44,4 +44,4 @@ def span_table(docs: DataFrame, find: Callable[[], Callable[[str], list[Span]]],
                 every.append(joined(spans))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in base), pa.array(digests, pa.string()), pa.array(every, pa.string())], names=["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"])
 
-    return id_text(docs).mapInArrow(of, "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string")
+    return id_text(docs).mapInArrow(lean(of), "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string")

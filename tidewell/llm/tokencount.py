@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import id_text, text_steps
+from tidewell.llm.common import id_text, lean, text_steps
 
 #: Trie nodes that a worker keeps before it begins a new trie, pre-tokens whose
 #: counts it remembers, and bytes of text in a step.
@@ -129,4 +129,4 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
                 tokens.append(trie.counts(words))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return id_text(docs).mapInArrow(of, "doc_id long, n_pretokens long, n_tokens long")
+    return id_text(docs).mapInArrow(lean(of), "doc_id long, n_pretokens long, n_tokens long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_text, text_steps
+from tidewell.llm.common import id_text, lean, small_batches, text_steps
 
 #: Bounds of the training sample: rows of each label, and characters of a row.
 TRAIN_ROWS = 1_200
@@ -363,7 +363,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = scorer.scores(texts)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    out = id_text(docs).mapInArrow(of, "doc_id long, score double")
+    out = id_text(docs).mapInArrow(lean(of), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -377,4 +377,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for piece, texts in text_steps(batches):
             yield piece.filter(pa.array(scorer.scores(texts) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(lean(keep), docs.schema)
