@@ -33,11 +33,12 @@ def first_seen(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("url").agg(F.min(F.struct("depth", "seq")).alias("k")).select("url", "k.depth", "k.seq")
 
 
-def bfs(seeds: DataFrame, links: DataFrame, max_depth: int = 4, max_pages: int = 6000, allowed: DataFrame | None = None) -> DataFrame:
+def bfs(seeds: DataFrame, links: DataFrame, max_depth: int = 4, max_pages: int | None = 6000, allowed: DataFrame | None = None) -> DataFrame:
     """(url) seeds over (url, target) links -> url, depth of the pages saved.
 
     Pages at ``max_depth`` are saved and not expanded. A level's pages are
-    taken in order of url until ``max_pages`` are saved; failures are pages
+    taken in order of url until ``max_pages`` are saved, all of them without
+    such a budget; failures are pages
     that ``allowed`` does not hold, they use no budget. Every level is one
     join of the frontier with the links and one anti-join with all seen, and
     is written out, so the plan does not grow with depth.
@@ -46,15 +47,16 @@ def bfs(seeds: DataFrame, links: DataFrame, max_depth: int = 4, max_pages: int =
     frontier = seeds.select("url", F.lit(0).alias("depth")).distinct()
     if allowed is not None:
         frontier = frontier.join(allowed.select("url").distinct(), "url", "left_semi")
-    frontier = staged(frontier.orderBy("url").limit(max_pages))
+    within = lambda level, n: level if max_pages is None else level.orderBy("url").limit(max_pages - n)
+    frontier = staged(within(frontier, 0))
     seen, saved = frontier, frontier.count()
     depth, fresh = 0, saved
-    while depth < max_depth and saved < max_pages and fresh:
+    while depth < max_depth and fresh and (max_pages is None or saved < max_pages):
         reached = frontier.join(edges, "url").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
         if allowed is not None:
             reached = reached.join(allowed.select("url").distinct(), "url", "left_semi")
         depth += 1
-        frontier = staged(reached.select("url", F.lit(depth).alias("depth")).orderBy("url").limit(max_pages - saved))
+        frontier = staged(within(reached.select("url", F.lit(depth).alias("depth")), saved))
         fresh = frontier.count()
         saved += fresh
         seen = seen.unionByName(frontier)

@@ -41,7 +41,7 @@ def link_check(docs: DataFrame) -> DataFrame:
     known = entries(docs)
     scopes = scope_prefixes(known).select("origin", "scope")
     ready = known.join(scopes, "origin", "left").withColumns({"scope": F.coalesce("scope", F.lit("/")), "before": F.col("content")})
-    done = rewrite.rewrite(ready, known, column="content")
+    done = rewrite.rewrite(ready, known, "content")
     return done.select("file_path", "content", (F.col("content") != F.col("before")).alias("changed"))
 
 

@@ -263,17 +263,23 @@ def _rewrite(md: pd.Series, current: pd.Series, base: pd.Series, scope: pd.Serie
     return pd.Series([of(*x) for x in zip(md, current, base, scope, known, strict=True)], dtype=object)
 
 
-def rewrite(docs: DataFrame, known: DataFrame, column: str = "markdown") -> DataFrame:
-    """``docs`` (url, ``column`` and optionally base_url and scope) with links rewritten.
-
-    ``known`` has the normalised URLs of all saved pages in ``url``. Each
-    document's targets are joined to it, so only their own known targets come
-    with a document. Null documents stay null.
+def rewrite(docs: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` (url, ``columns`` and optionally base_url and scope) with links rewritten.
+
+    ``known`` has the normalised URLs of all saved pages in ``url``. The
+    targets of all columns of a document are joined to it once, so only its
+    own known targets come with a document. Documents meet their targets by a
+    128-bit hash of their url and columns, so equal rows count as one. Null
+    documents stay null. Without ``columns`` it is markdown that is rewritten.
     """
+    columns = columns or ("markdown",)
     base = F.col("base_url") if "base_url" in docs.columns else F.lit(None).cast("string")
     scope = F.col("scope") if "scope" in docs.columns else F.lit("/")
-    keyed = docs.withColumn("__row", F.xxhash64("url", column)).withColumns({"__base": base, "__scope": scope})
-    targets = keyed.select("__row", F.explode(_targets(F.col(column), F.col("url"), F.col("__base"), F.col("__scope"))).alias("target")).distinct()
-    mine = targets.join(known.select(F.col("url").alias("target")).distinct(), "target", "left_semi").groupBy("__row").agg(F.collect_set("target").alias("__known"))
-    new = _rewrite(F.col(column), F.col("url"), F.col("__base"), F.col("__scope"), F.col("__known"))
-    return keyed.join(mine, "__row", "left").withColumn(column, new).drop("__row", "__known", "__base", "__scope")
+    row = ["__row1", "__row2"]
+    keyed = docs.withColumns({"__row1": F.xxhash64("url", *columns), "__row2": F.xxhash64(F.lit(1), *reversed(columns), "url"), "__base": base, "__scope": scope})
+    at = (F.col("url"), F.col("__base"), F.col("__scope"))
+    every = F.array_distinct(F.flatten(F.array(*(_targets(F.col(c), *at) for c in columns))))
+    targets = keyed.select(*row, F.explode(every).alias("target")).distinct()
+    mine = targets.join(known.select(F.col("url").alias("target")).distinct(), "target", "left_semi").groupBy(*row).agg(F.collect_set("target").alias("__known"))
+    new = {c: _rewrite(F.col(c), *at, F.col("__known")) for c in columns}
+    return keyed.join(mine, row, "left").withColumns(new).drop(*row, "__known", "__base", "__scope")

@@ -83,3 +83,37 @@ def bench_stats(rows: DataFrame) -> DataFrame:
 
 def pool_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("busy").alias("in_flight"))
+
+
+def stage_hops(attempts: DataFrame) -> DataFrame:
+    """(job_id, seq, worker_type, outcome) -> job_id, stage, outcome, attempts: the two-stage queue.
+
+    A job's first attempt of each kind counts. It begins with markdown and
+    hops to hybrid when its source is unavailable; a job that was never tried
+    as markdown, or whose hop was never tried, is pending there.
+    """
+    first = lambda kind: F.min_by(F.when(F.col("worker_type") == kind, F.col("outcome")), F.when(F.col("worker_type") == kind, F.col("seq")))
+    tried = attempts.groupBy("job_id").agg(first("markdown").alias("md"), first("hybrid").alias("html"), F.count("*").alias("attempts"))
+    hop = F.col("md") == "markdownUnavailable"
+    stage = F.when(hop, F.lit("hybrid")).otherwise(F.lit("markdown"))
+    return tried.select("job_id", stage.alias("stage"), F.coalesce(F.when(hop, F.col("html")).otherwise(F.col("md")), F.lit("pending")).alias("outcome"), "attempts")
+
+
+def idle_workers(events: DataFrame, now_ms, timeout_ms: int = 45_000) -> DataFrame:
+    """(worker, now_ms) -> worker, last_ms, exits: workers without an event for the timeout go."""
+    return events.groupBy("worker").agg(F.max("now_ms").alias("last_ms")).withColumn("exits", F.lit(now_ms) - F.col("last_ms") >= timeout_ms)
+
+
+def stopped(jobs: DataFrame, most: int) -> DataFrame:
+    """(seq, outcome) -> the same with stops: whether a graceful stop ends the job before it begins.
+
+    Jobs are begun in order until ``most`` are completed; what is in flight is
+    finished. The running count is over ranges of jobs first, then within.
+    """
+    size = 10_000
+    done = (F.col("outcome") == "completed").cast("long")
+    ranged = jobs.withColumns({"__r": F.floor(F.col("seq") / size), "__d": done})
+    before = ranged.groupBy("__r").agg(F.sum("__d").alias("__n"))
+    before = before.withColumn("__n", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum("__d").over(Window.partitionBy("__r").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__w", within).join(before, "__r").withColumn("stops", F.col("__n") + F.col("__w") >= most).drop("__r", "__d", "__n", "__w")

@@ -31,4 +31,4 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-from tidewell.plans import q_documents, q_html, q_links, q_schedule, q_urls  # noqa: E402, F401
+from tidewell.plans import q_documents, q_html, q_links, q_schedule, q_urls, q_varied  # noqa: E402, F401

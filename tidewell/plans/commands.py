@@ -28,8 +28,11 @@ def scrape(frontier: DataFrame, fetched: DataFrame, fetched_at: str, scope: str
     return from_md.unionByName(parsed.select("url", "d.markdown", "d.clutter_markdown", "d.llms_markdown", "d.llms_full_markdown"))
 
 
-def crawl_site(pages: DataFrame, start: str, fetched_at: str, max_depth: int = 4, max_pages: int = 6000, robots_txt: DataFrame | None = None, user_agent: str = "*", render: bool = True, markdown_sources: DataFrame | None = None) -> DataFrame:
-    """Breadth-first crawl of a snapshot from ``start``; documents with links to saved pages relative."""
+def crawl_site(pages: DataFrame, start: str, fetched_at: str, max_depth: int = 4, max_pages: int = 6000, robots_txt: DataFrame | None = None, user_agent: str = "*", render: bool = True, markdown_sources: DataFrame | None = None, seeds: str | None = None) -> DataFrame:
+    """Breadth-first crawl of a snapshot from ``start``, which also is its scope; links to saved pages relative.
+
+    ``seeds`` is where it begins if that is not ``start``.
+    """
     spark = pages.sparkSession
     begin = spark.createDataFrame([(urls.canonical_url(start),)], "url string")
     scope = begin.select(urls.pathname(urls.normalize_for_queue("url"))).first()[0]
@@ -41,7 +44,8 @@ def crawl_site(pages: DataFrame, start: str, fetched_at: str, max_depth: int = 4
     fetched = crawl.staged(fetch.from_snapshot(known.select("url"), known, markdown_sources, render=render))
     docs = crawl.staged(scrape(known.select("url"), fetched, fetched_at, scope))
     links = crawl.staged(_links(fetched, fetched_at, origin, scope))
-    saved = crawl.bfs(begin.select(urls.normalize_for_queue("url").alias("url")), links, max_depth, max_pages, docs)
+    first = begin if seeds is None else spark.createDataFrame([(urls.canonical_url(seeds),)], "url string")
+    saved = crawl.bfs(first.select(urls.normalize_for_queue("url").alias("url")), links, max_depth, max_pages, docs)
     return _relinked(docs, saved, scope)
 
 
@@ -56,8 +60,7 @@ def _links(fetched: DataFrame, fetched_at: str, origin: str, scope: str) -> Data
 def _relinked(docs: DataFrame, saved: DataFrame, scope: str) -> DataFrame:
     """The saved documents, with links to one another relative."""
     out = docs.join(saved, "url").withColumn("scope", F.lit(scope))
-    for column in ("markdown", "clutter_markdown", "llms_full_markdown"):
-        out = rewrite.rewrite(out, saved, column)
+    out = rewrite.rewrite(out, saved, "markdown", "clutter_markdown", "llms_full_markdown")
     return out.withColumn("llms_markdown", F.col("markdown"))
 
 

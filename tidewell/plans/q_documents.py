@@ -86,9 +86,22 @@ def md_bare_urls(spark, sf_dir):
     return linked(spark, sf_dir).select("page_id", F.array_join(markdown.simple_bare_urls("m"), " ").alias("bare"))
 
 
-@query("SELECT page_id, 'false,false,false,true,true,true,true,false' AS states FROM pages")
+#: Whole documents in which some lines are fences, of two kinds, of any length, indented or with an info string.
+_FENCED = f"""f AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), {_NL}), lambda l, i: CASE (i * 7 + doc_id) % 11 WHEN 0 THEN '```' || l WHEN 3 THEN '  ~~~~' WHEN 5 THEN '````sql' WHEN 8 THEN '~~~' WHEN 9 THEN 'a ``` b' ELSE l END) AS ls FROM documents)"""
+
+
+def fenced(spark, sf_dir):
+    k = lambda i: (i + 1) * 7 + F.col("doc_id")
+    line = lambda l, i: F.when(k(i) % 11 == 0, F.concat(F.lit("```"), l)).when(k(i) % 11 == 3, F.lit("  ~~~~")).when(k(i) % 11 == 5, F.lit("````sql")).when(k(i) % 11 == 8, F.lit("~~~")).when(k(i) % 11 == 9, F.lit("a ``` b")).otherwise(l)
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n").alias("m"))
+
+
+@query(
+    f"""WITH {_FENCED}, m AS (SELECT doc_id, list_transform(ls, lambda l: {{'open': regexp_extract(l, '^\\s*(```|~~~)', 1), 'skip': ''}}) AS ms FROM f)
+    SELECT doc_id, list_reduce([{{'open': '', 'skip': ''}}] || ms, lambda s, x: {{'open': CASE WHEN s.open = '' THEN x.open WHEN s.open = x.open THEN '' ELSE s.open END, 'skip': s.skip || CASE WHEN x.open <> '' OR s.open <> '' THEN '1' ELSE '0' END}}).skip AS states FROM m"""
+)
 def fence_state(spark, sf_dir):
-    return linked(spark, sf_dir).select("page_id", F.array_join(F.transform(markdown.fence_states("m"), lambda b: b.cast("string")), ",").alias("states"))
+    return fenced(spark, sf_dir).select("doc_id", F.array_join(F.transform(markdown.fence_states("m"), lambda b: b.cast("int").cast("string")), "").alias("states"))
 
 
 _LABEL = "CASE doc_id % 3 WHEN 0 THEN lang || ' ↗ ' WHEN 1 THEN lang ELSE lang || '  ' END"

@@ -147,26 +147,27 @@ def scope_prefix_per_origin(spark, sf_dir):
 
 
 def saved_docs(spark, sf_dir):
-    """Pages as saved documents: each links to the page of the next number and to an unknown one."""
+    """Pages as saved documents: each links to the page of the next number and to an unknown one, every third to none."""
     p = table(spark, sf_dir, "pages").select("page_id", urls.normalize_for_queue("url").alias("url"))
     after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
     text = F.concat(F.lit("---\nSource: "), "url", F.lit("\nFetched: x\n---\n\n# Page\n[next]("), F.coalesce("next", F.lit("/none")), F.lit("#part) and [away](https://away.example.org/x)\n"))
+    text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("---\nSource: "), "url", F.lit("\nFetched: x\n---\n\n# Page\nno links\n"))).otherwise(text)
     return p.join(after, "page_id", "left").select(F.format_string("p%06d.md", "page_id").alias("file_path"), "url", text.alias("content"))
 
 
 _RELINKED = f"""WITH p AS (SELECT page_id, {s_norm('url')} AS url FROM pages), n AS (SELECT p.page_id, p.url, q.url AS nxt FROM p LEFT JOIN p q ON q.page_id = p.page_id + 1),
     d AS (SELECT *, string_split({s_dir('url')}, '/') AS a, string_split({s_dir('nxt')} || '/page.md', '/') AS b FROM n),
     c AS (SELECT *, coalesce(list_min(list_filter(range(0, least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b))) AS k FROM d),
-    done AS (SELECT page_id, url, '---' || chr(10) || 'Source: ' || url || chr(10) || 'Fetched: x' || chr(10) || '---' || chr(10) || chr(10) || '# Page' || chr(10) || '[next](' ||
-    CASE WHEN nxt IS NULL THEN '/none' ELSE repeat('../', CAST(len(a) - k AS INTEGER)) || array_to_string(b[k + 1:], '/') || '#part' END || CASE WHEN nxt IS NULL THEN '#part' ELSE '' END || ') and [away ↗](https://away.example.org/x)' || chr(10) AS content FROM c)"""
+    done AS (SELECT page_id, url, '---' || chr(10) || 'Source: ' || url || chr(10) || 'Fetched: x' || chr(10) || '---' || chr(10) || chr(10) || '# Page' || chr(10) || CASE WHEN page_id % 3 = 0 THEN 'no links' || chr(10) ELSE '[next](' ||
+    CASE WHEN nxt IS NULL THEN '/none' ELSE repeat('../', CAST(len(a) - k AS INTEGER)) || array_to_string(b[k + 1:], '/') || '#part' END || CASE WHEN nxt IS NULL THEN '#part' ELSE '' END || ') and [away ↗](https://away.example.org/x)' || chr(10) END AS content FROM c)"""
 
 
-@query(f"{_RELINKED} SELECT printf('p%06d.md', page_id) AS file_path, content, true AS changed FROM done")
+@query(f"{_RELINKED} SELECT printf('p%06d.md', page_id) AS file_path, content, page_id % 3 <> 0 AS changed FROM done")
 def link_check(spark, sf_dir):
     return linkcheck.link_check(saved_docs(spark, sf_dir).select("file_path", "content"))
 
 
-@query("SELECT count(*) AS updated, CAST(0 AS BIGINT) AS unchanged FROM pages")
+@query("SELECT count(*) FILTER (page_id % 3 <> 0) AS updated, count(*) FILTER (page_id % 3 = 0) AS unchanged FROM pages")
 def link_check_summary(spark, sf_dir):
     return linkcheck.summary(linkcheck.link_check(saved_docs(spark, sf_dir).select("file_path", "content")))
 
@@ -178,11 +179,11 @@ def rewrite_markdown(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages WHERE page_id % 2 = 0)
+    f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)
     SELECT page_id, {s_origin('url')} || '/a' || page_id || ',' || {s_origin('url')} || '/ref,' || {s_origin('url')} || '/card,' || {s_origin('url')} || '/auto,' || {s_origin('url')} || '/bare' AS links FROM p"""
 )
 def markdown_page_links(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("page_id % 2 = 0").withColumn("o", urls.origin("url"))
+    p = table(spark, sf_dir, "pages").withColumn("o", urls.origin("url"))
     n = F.col("page_id").cast("string")
     text = F.concat(F.lit("[x](/a"), n, F.lit(" 'title') ![i](/i.png) [z](/skip.css)\n\n[r]: /ref\n<Card href=\"/card\">\n<"), "o", F.lit("/auto>\nsee "), "o", F.lit("/bare. `"), "o", F.lit("/code`\n```\n"), "o", F.lit("/fenced\n```\n"))
     return p.select("page_id", F.array_join(rewrite.markdown_links(text, F.col("url"), F.col("o"), F.lit("/")), ",").alias("links"))

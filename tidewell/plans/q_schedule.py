@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import urls
 from tidewell.operators import crawl, schedule
 from tidewell.plans.catalog import query, table
+from tidewell.plans.q_links import _LINKS, links_of
+from tidewell.plans.q_urls import s_norm, s_origin
 
 KINDS = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'completed' WHEN 'purchase' THEN 'failed' WHEN 'signup' THEN 'timeout' ELSE 'markdownUnavailable' END"
 
@@ -104,27 +107,26 @@ def progress_eta(spark, sf_dir):
     return p.select("origin", "seq", F.col("saved").cast("bigint").alias("saved"), F.round(tx.eta_ms(F.col("seq") * 10.0, "saved", "total"), 4).alias("eta_ms"))
 
 
-_N = 400
+_BFS = f"""WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT {s_norm('url')} AS url, target FROM links), s AS (SELECT min({s_norm('url')}) AS url FROM pages GROUP BY {s_origin('url')}),
+    b(url, depth) AS (SELECT url, 0 FROM s UNION SELECT e.target, b.depth + 1 FROM b JOIN e USING (url) WHERE b.depth < 4), f AS (SELECT url, min(depth) AS depth FROM b GROUP BY url)"""
 
 
-def edges(spark, n: int = _N):
-    """A cyclic graph over 0..n-1, made of arithmetic alone."""
-    i = spark.range(n).select(F.col("id").alias("i"))
-    return i.select(F.col("i").cast("string").alias("url"), F.explode(F.array(*(x.cast("string") for x in ((F.col("i") * 2 + 1) % n, (F.col("i") * 3 + 2) % n, (F.col("i") + 7) % n)))).alias("target"))
-
-
-_EDGES = f"i AS (SELECT range AS i FROM range({_N})), e AS (SELECT CAST(i AS VARCHAR) AS url, CAST(unnest([(i * 2 + 1) % {_N}, (i * 3 + 2) % {_N}, (i + 7) % {_N}]) AS VARCHAR) AS target FROM i)"
-_BFS = f"WITH RECURSIVE {_EDGES}, b(url, depth) AS (SELECT '0', 0 UNION SELECT e.target, b.depth + 1 FROM b JOIN e USING (url) WHERE b.depth < 4), f AS (SELECT url, min(depth) AS depth FROM b GROUP BY url)"
+def page_graph(spark, sf_dir):
+    """The first page of every site, and the links between pages."""
+    seeds = table(spark, sf_dir, "pages").groupBy(urls.origin("url")).agg(F.min(urls.normalize_for_queue("url")).alias("url")).select("url")
+    return seeds, links_of(spark, sf_dir).select(urls.normalize_for_queue("url").alias("url"), "target").distinct()
 
 
 @query(f"{_BFS} SELECT url, CAST(depth AS BIGINT) AS depth FROM f")
 def crawl_bfs(spark, sf_dir):
-    return crawl.bfs(spark.createDataFrame([("0",)], "url string"), edges(spark)).select("url", F.col("depth").cast("bigint").alias("depth"))
+    seeds, edges = page_graph(spark, sf_dir)
+    return crawl.bfs(seeds, edges, max_pages=None).select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query(f"{_BFS} SELECT url, CAST(depth AS BIGINT) AS depth FROM f ORDER BY f.depth, url LIMIT 25")
 def crawl_bfs_budget(spark, sf_dir):
-    return crawl.bfs(spark.createDataFrame([("0",)], "url string"), edges(spark), max_pages=25).select("url", F.col("depth").cast("bigint").alias("depth"))
+    seeds, edges = page_graph(spark, sf_dir)
+    return crawl.bfs(seeds, edges, max_pages=25).select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 _VISITS = "v AS (SELECT CAST(user_id AS VARCHAR) AS url, CAST(event_id % 5 AS INTEGER) AS depth, event_id AS seq FROM events)"

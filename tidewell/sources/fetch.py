@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
@@ -30,7 +30,7 @@ def from_snapshot(frontier: DataFrame, pages: DataFrame, markdown: DataFrame | N
     todo = frontier.where(~urls.is_blocked_download(urls.pathname("url")))
     out = todo.join(pages.select("url", "html"), "url", "left")
     if markdown is not None:
-        sources = markdown.where(F.trim("text") != "").groupBy(F.col("url").alias("candidate")).agg(F.min("text").alias("md"))
+        sources = markdown.where(~is_blank("text")).groupBy(F.col("url").alias("candidate")).agg(F.min("text").alias("md"))
         out = out.withColumn("candidate", urls.markdown_candidate("url")).join(sources, "candidate", "left").drop("candidate")
     else:
         out = out.withColumn("md", F.lit(None).cast("string"))
@@ -41,6 +41,17 @@ def from_snapshot(frontier: DataFrame, pages: DataFrame, markdown: DataFrame | N
     return out.withColumn("source", source).select("url", "source", F.expr("case source when 'markdown' then md when 'rendered' then live else html end").alias("content"))
 
 
+def is_blank(markdown) -> Column:
+    """Whether a Markdown source counts as unavailable."""
+    return F.coalesce(F.trim(F.regexp_replace(markdown, r"\s+", " ")), F.lit("")) == ""
+
+
+def needs_render(html, markdown, render: bool = True, least: int = 200) -> Column:
+    """Whether a page is to be rendered: it, or the Markdown made of it, has not enough text."""
+    thin = ~F.coalesce(tx.has_meaningful_text(html, least), F.lit(False)) | F.coalesce(tx.is_markdown_too_short(markdown, least), F.lit(True))
+    return F.lit(render) & thin
+
+
 class StatusError(OSError):
     """The server answered, and not with success."""
 
