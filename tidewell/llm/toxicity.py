@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import id_text, lean, small_batches, text_steps
 
-#: Bounds of the training sample: rows of each label, and characters of a row.
+#: Bound of the training sample: rows of each label, with their whole texts.
 TRAIN_ROWS = 1_200
-TRAIN_CHARS = 8_000
 WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
@@ -337,7 +336,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROW
     if not ids:
         return []
     few = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic int")
-    texts = id_text(docs).where(F.length("text") <= TRAIN_CHARS).where("text is not null").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    texts = id_text(docs).where("text is not null").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     out = []
     for label in (0, 1):
         rows = texts.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_label).select("text", "toxic").collect()
@@ -349,8 +348,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Only labelled rows outside the fold crc32(doc_id) mod 5 = 0 are learnt
-    from, at most ``TRAIN_ROWS`` of each label and only texts of at most
-    ``TRAIN_CHARS``; every text is scored whole. Null and empty texts have
+    from, at most ``TRAIN_ROWS`` of each label, by a hash of the id and whatever
+    their length; every text is scored whole. Null and empty texts have
     one empty window. Without labels of both kinds the score is constant. A
     null doc_id has held_out null. Other columns are ignored.
     """
