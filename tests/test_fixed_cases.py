@@ -60,12 +60,12 @@ def test_scope(spark, path, scope, want):
 @pytest.mark.parametrize(
     "url,want",
     [
-        ("https://bun.com/", "https://bun.com/llms.txt"),
-        ("https://bun.com", "https://bun.com/llms.txt"),
-        ("https://bun.com/docs", "https://bun.com/docs.md"),
-        ("https://bun.com/docs/", "https://bun.com/docs.md"),
-        ("https://bun.com/docs/readme.md", "https://bun.com/docs/readme.md"),
-        ("https://bun.com/docs/llms.txt", "https://bun.com/docs/llms.txt"),
+        ("https://h.org/", "https://h.org/llms.txt"),
+        ("http://h.org:81", "http://h.org:81/llms.txt"),
+        ("https://h.org/a/b-c", "https://h.org/a/b-c.md"),
+        ("https://h.org/a//", "https://h.org/a.md"),
+        ("https://h.org/A.MD", "https://h.org/A.MD"),
+        ("https://h.org/notes.txt", "https://h.org/notes.txt"),
         ("https://h.com/a.html?x=1#y", "https://h.com/a.html.md?x=1"),
         ("https://h.com/a.MD/", "https://h.com/a.MD"),
     ],
@@ -193,7 +193,7 @@ def test_dom_links():
 @pytest.mark.parametrize(
     "md,base,scope,want",
     [
-        ('<Card href="/runtime">Runtime</Card>', "https://bun.com/docs", "/docs", ["https://bun.com/docs/runtime"]),
+        ('text <Tile id=1 href="/setup" /> more', "https://h.org/docs", "/docs", ["https://h.org/docs/setup"]),
         ("[Section](https://example.com/docs/page#anchor)", "https://example.com/docs", "/docs", ["https://example.com/docs/page"]),
         ("<Card href={'/a'} /> <Card href='/b' /> <Card href={x} />", "https://h.com/", "/", ["https://h.com/a", "https://h.com/b"]),
     ],
@@ -209,15 +209,14 @@ def relinked(md, current, known, scope=None):
 def test_rewrite():
     at = "https://example.com/docs/intro"
     assert relinked("[Doc](https://example.com/docs/intro/overview)", at, ["https://example.com/docs/intro/overview"]) == "[Doc](overview/page.md)"
-    doc = "---\nSource: https://bun.com/docs/test/index\n---\n\nhttps://bun.com/docs/llms.txt\n[Section](https://bun.com/docs/llms.txt#nav)"
-    got = relinked(doc, "https://bun.com/docs/test/index", ["https://bun.com/docs/llms.txt"], "/docs")
-    assert "[https://bun.com/docs/llms.txt](../../llms_txt/page.md)" in got and "[Section](../../llms_txt/page.md#nav)" in got and "[[[[" not in got
-    assert relinked("---\nSource: [https://bun.com/docs/index](page.md)\n---\n\nbody", at, []) == "---\nSource: https://bun.com/docs/index\n---\n\nbody"
-    assert relinked("[External](https://other.com/page)", "https://bun.com/docs", []) == "[External ↗](https://other.com/page)"
+    page = "https://h.org/v2/start"
+    front = "---\nSource: <https://h.org/v2/start> ↗\nFetched: x\n---\n"
+    got = relinked(f"{front}\nread https://h.org/v2/faq, then [more](/faq#q 'title')\n", page, ["https://h.org/v2/faq"], "/v2")
+    assert got == "---\nSource: https://h.org/v2/start\nFetched: x\n---\n\nread [https://h.org/v2/faq](../faq/page.md), then [more](../faq/page.md#q 'title')\n"
+    assert relinked(got, page, ["https://h.org/v2/faq"], "/v2") == got  # once is enough
+    assert relinked("see [away](//w.org/x)", page, []) == "see [away ↗](//w.org/x)"
     got = relinked("[Guide ↗](https://two.com/guide)", "https://one.com/docs/page", ["https://two.com/guide"])
     assert got.startswith("[Guide](") and "two_com/guide/page.md" in got and "↗" not in got
-    quoted = "> [https://bun.com/docs/llms.txt](../../llms_txt/page.md)"
-    assert relinked(quoted, "https://bun.com/docs/test/index", ["https://bun.com/docs/llms.txt"]).count("https://bun.com/docs/llms.txt") == 1
     assert relinked("[foo ](/x)", "https://h.com/", []) == "[foo](/x)"
     assert relinked("[![a](https://o.com/i.png)](https://o.com)", "https://h.com/", []) == "[![a ↗](https://o.com/i.png)](https://o.com)"
     fenced = "```\nhttps://h.com/a\n```\nhttps://h.com/a, `https://h.com/a`\n[r]: https://h.com/a x"
@@ -451,6 +450,7 @@ def test_rendering_replaces_bare_pages(spark):
         (["linkcheck"], "link-check", "directory", ".docs"),
         (["find", "q", "-C", "0"], "find", "context_lines", 0),
         (["https://e.com", "--max-depth=7x", "--retries", "0"], "crawl", "max_depth", 7),
+        (["https://e.com", "--Max-Depth=2", "--USER-AGENT=Bot/1"], "crawl", "user_agent", "Bot/1"),
         (["--version"], "version", "command", "version"),
     ],
 )
@@ -460,6 +460,27 @@ def test_arguments(argv, command, field, want):
 
 
 @pytest.mark.parametrize("argv", [[], ["url"], ["crawl", "ftp://x"], ["find"]])
-def test_bad_arguments(argv):
-    with pytest.raises(SystemExit):
+def test_bad_arguments(argv, capsys):
+    with pytest.raises(SystemExit) as end:
         cli.parse_args(argv)
+    said = capsys.readouterr().err
+    assert end.value.code == 1 and said.startswith("usage: tidewell") and said.rstrip().splitlines()[-1].startswith("tidewell")
+
+
+def test_help_names_all_commands(capsys):
+    with pytest.raises(SystemExit) as end:
+        cli.parse_args(["--help"])
+    said = capsys.readouterr().out
+    assert end.value.code == 0 and all(c in said for c in cli.COMMANDS)
+    with pytest.raises(SystemExit):
+        cli.parse_args(["crawl", "--help"])
+    said = capsys.readouterr().out
+    assert all(f"--{f}" in said for f in ("out-dir", "max-depth", "max-pages", "delay", "user-agent", "retries", "timeout", "no-clutter", "snapshot"))
+
+
+def test_rewrite_of_several_columns_keeps_rows_apart(spark):
+    rows = [("https://e.org/a", "[b](/b)", "[a](/a) [c](/c)"), ("https://e.org/a", "[c](/c)", None), ("https://e.org/a", "[c](/c)", None)]
+    docs = spark.createDataFrame(rows, "url string, markdown string, other string")
+    known = spark.createDataFrame([("https://e.org/a",), ("https://e.org/b",)], "url string")
+    got = sorted(map(tuple, rewrite.rewrite(docs, known, "markdown", "other").collect()), key=repr)
+    assert got == sorted([("https://e.org/a", "[b](../b/page.md)", "[a](page.md) [c](/c)"), *[("https://e.org/a", "[c](/c)", None)] * 2], key=repr)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from dataclasses import fields
+from typing import NoReturn
 from urllib.parse import urlsplit
 
 from tidewell.options import CrawlOptions, FindOptions
@@ -30,8 +31,16 @@ def checked_url(text: str) -> str:
     return text
 
 
+class Parser(argparse.ArgumentParser):
+    """Wrong arguments give the help, the reason and exit code 1."""
+
+    def error(self, message: str) -> NoReturn:
+        self.print_help(sys.stderr)
+        self.exit(1, f"\n{self.prog}: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tidewell", description="Mine documentation sites with Spark.")
+    p = Parser(prog="tidewell", description="Mine documentation sites with Spark.")
     sub = p.add_subparsers(dest="command", required=True)
     default = CrawlOptions()
     common = argparse.ArgumentParser(add_help=False)
@@ -64,8 +73,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def parse_args(argv: list[str]) -> argparse.Namespace:
-    """A bare URL means crawl."""
-    argv = list(argv)
+    """A bare URL means crawl; long flags may be written in any case, short ones mean themselves."""
+    argv = [name.lower() + gap + value if a.startswith("--") else a for a in argv for name, gap, value in [a.partition("=")]]
     if argv and argv[0] in ALIASES:
         argv[0] = ALIASES[argv[0]]
     elif argv and argv[0] not in COMMANDS and not argv[0].startswith("-"):

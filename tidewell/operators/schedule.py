@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,22 @@ def bench_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def failure_summary(rows: DataFrame, shown: int = 3) -> DataFrame:
+    """(url, error) -> error, n, urls: how many pages failed for each reason, and the first of them.
+
+    Rows without an error are no failures. Only the least urls of a reason
+    travel, so a reason that all pages share is no burden.
+    """
+    failed = rows.where("error is not null").select("error", "url")
+    counts = failed.groupBy("error").agg(F.count("*").alias("n"))
+    rest, least = failed.distinct(), []
+    for _ in range(max(1, shown)):  # a few minimum aggregates, no sort of all pages of a reason
+        least.append(rest.groupBy("error").agg(F.min("url").alias("url")))
+        rest = rest.join(least[-1], ["error", "url"], "left_anti")
+    some = reduce(DataFrame.unionByName, least).groupBy("error").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    return counts.join(some, "error", "left")
+
+
 def pool_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("busy").alias("in_flight"))
 

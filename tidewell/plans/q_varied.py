@@ -10,7 +10,7 @@ from tidewell.functions import urls
 from tidewell.operators import crawl, html, rewrite, schedule
 from tidewell.plans import commands
 from tidewell.plans.catalog import query, table
-from tidewell.plans.q_html import _MARKDOWN, _PAGE
+from tidewell.plans.q_html import _BODY, _HEAD, _MARKDOWN, _PAGE, FETCHED
 from tidewell.plans.q_schedule import _JOBS, jobs
 from tidewell.plans.q_urls import s_dir, s_norm, s_text_length
 from tidewell.sources import corpus, fetch
@@ -123,6 +123,16 @@ def saved_files_for_links(spark, sf_dir):
     return corpus.read_tree(spark, _saved(spark, sf_dir), for_links=True)
 
 
+@query(
+    f"""WITH least AS (SELECT min(page_id) AS page_id, {s_norm('url')} AS url, min(html) AS html FROM pages GROUP BY 2), {_PAGE.replace('FROM pages)', 'FROM least)')}
+    SELECT url, {_HEAD} || {_BODY} AS markdown FROM page"""
+)
+def scrape_list(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    wanted = p.select("url").unionByName(spark.createDataFrame([("not a url",), ("https://missing.example.org/x",), ("ftp://x/y.css",)], "url string"))
+    return commands.scrape_urls(p, wanted, FETCHED).select("url", "markdown")
+
+
 # ---- a crawl of recorded responses: pages of one site that link to one another, some as Markdown, some forbidden
 
 _SITE = "https://site.example.com"
@@ -172,6 +182,15 @@ def idle_workers(spark, sf_dir):
     return schedule.idle_workers(e.select(F.col("job_id").alias("worker"), "now_ms"), now)
 
 
+@query(
+    f"""WITH {_JOBS}, f AS (SELECT outcome AS error, origin || '/' || seq AS url FROM jobs WHERE outcome <> 'completed'), u AS (SELECT error, url, row_number() OVER (PARTITION BY error ORDER BY url) AS k FROM (SELECT DISTINCT error, url FROM f)),
+    n AS (SELECT error, count(*) AS n FROM f GROUP BY error) SELECT error, n, string_agg(url, ' ' ORDER BY url) AS urls FROM n JOIN u USING (error) WHERE k <= 3 GROUP BY error, n"""
+)
+def failure_summary(spark, sf_dir):
+    rows = jobs(spark, sf_dir).select(F.concat("origin", F.lit("/"), F.col("seq").cast("string")).alias("url"), F.when(F.col("outcome") != "completed", F.col("outcome")).alias("error"))
+    return schedule.failure_summary(rows).withColumn("urls", F.array_join("urls", " "))
+
+
 @query(f"WITH {_JOBS} SELECT seq, coalesce(sum(CASE WHEN outcome = 'completed' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 100 AS stops FROM jobs")
 def graceful_stop(spark, sf_dir):
     return schedule.stopped(jobs(spark, sf_dir).select("seq", "outcome"), 100).select("seq", "stops")
