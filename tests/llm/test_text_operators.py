@@ -371,6 +371,34 @@ def test_local_search_empties_bins():
         assert all(sum(lengths[i] for i in b) <= 100 for b in end)
 
 
+def test_local_search_ends_without_a_step():
+    r, stuck = random.Random(2), 0
+    for k in range(60):
+        lengths = [r.choice((r.randint(9, 22), r.randint(1, 30))) if k % 2 else r.randint(12, 19) for _ in range(40)]
+        bins = packing.local_search(packing.best_fit(lengths, 40), lengths, 40)
+        assert sorted(i for b in bins for i in b) == list(range(40)) and all(sum(lengths[i] for i in b) <= 40 for b in bins)
+        if len(bins) == -(-sum(lengths) // 40):
+            continue
+        stuck += 1
+        for a in bins:
+            for b in bins:
+                fill = sum(lengths[i] for i in b)
+                if a is b or fill < sum(lengths[i] for i in a) or fill == 40:
+                    continue
+                gives = [lengths[i] for i in a] + [lengths[i] + lengths[j] for i in a for j in a if i < j]
+                assert all(lengths[i] > 40 - fill for i in a)
+                assert not any(0 < g - lengths[t] <= 40 - fill for g in gives for t in b)
+    assert stuck
+
+
+def test_packing_gives_equal_rows_and_an_empty_table_their_place(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, None)]
+    got = packing.packed(docs(spark, rows)).collect()
+    assert len(got) == 4 and len({x["sequence_id"] for x in got}) == 1
+    assert sorted(x["offset"] for x in got) == np.cumsum([0, *[x["length"] for x in sorted(got, key=lambda x: x["offset"])][:-1]]).tolist()
+    assert packing.packed(docs(spark, rows).where("false")).count() == 0
+
+
 # ---- SimHash
 
 

@@ -172,17 +172,21 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     fill = np.bincount(where, size, len(bins)).astype(np.int64) if len(size) else np.zeros(len(bins), np.int64)
     least, live = -(-int(size.sum()) // capacity), sum(map(bool, bins))
     open_items = np.flatnonzero(fill[where] < capacity)  # bins that are full stay as they are
-    stuck = np.zeros(len(bins), bool)
+    stuck, moved = np.zeros(len(bins), bool), False
     while live > least:
         free = np.where((fill > 0) & (fill < capacity) & ~stuck, fill, capacity)
         small = int(free.argmin()) if len(free) else 0
         if not len(free) or free[small] == capacity:
-            break
+            if not moved:
+                break
+            stuck[:], moved = False, False  # steps may have made room for others
+            continue
         step = _step(bins, size, where, fill, open_items, small, capacity)
         if step is None:
             stuck[small] = True
             continue
         into, give, take = step
+        moved = True
         for source, to, items in ((small, into, give), (into, small, take)):
             moved = set(items)
             bins[source] = [i for i in bins[source] if i not in moved]
