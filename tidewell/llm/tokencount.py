@@ -25,6 +25,8 @@ from tidewell.llm.common import id_text, lean, text_steps
 #: Trie nodes that a worker keeps before it begins a new trie, pre-tokens whose
 #: counts it remembers, and bytes of text in a step.
 NODES = 300_000
+#: Characters of a pre-token in the trie; of a longer one only the states within reach of a piece are held on.
+DEPTH = 1_000
 KNOWN = 900_000
 STEP = 100_000
 MARK = "▁"
@@ -66,20 +68,26 @@ class Trie:
     def insert(self, word: str) -> int:
         """Tokens of a pre-token, without the leading mark in ``word``."""
         text = MARK + word
-        node, path = self.root, [self.root]
+        node, path, base = self.root, [self.root], 0  # the states of the prefixes from length base on
         for i, c in enumerate(text):
-            child = node[0].get(c)
+            child = node[0].get(c) if i < DEPTH else None
             if child is None:
-                child = node[0][c] = [{}, *self.forward(text, i + 1, path)]
-                self.size += 1
+                child = [{}, *self.forward(text, i + 1, path, base)]
+                if i < DEPTH:
+                    node[0][c] = child
+                    self.size += 1
             path.append(child)
             node = child
-        self.known[word] = node[2]
+            if len(path) > DEPTH + self.longest:
+                base += len(path) - self.longest
+                del path[: -self.longest]
+        if len(text) <= DEPTH:
+            self.known[word] = node[2]
         return node[2]
 
-    def forward(self, text: str, end: int, path: list) -> tuple[float, int]:
+    def forward(self, text: str, end: int, path: list, base: int) -> tuple[float, int]:
         width = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        before = path[end - 1]
+        before = path[end - 1 - base]
         score, count = before[1] + self.byte * width, before[2] + width
         for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
             piece = text[start:end]
@@ -87,7 +95,7 @@ class Trie:
                 break
             own = self.pieces.get(piece)
             if own is not None:
-                s, n = path[start][1] + own, path[start][2] + 1
+                s, n = path[start - base][1] + own, path[start - base][2] + 1
                 if s > score or s == score and n < count:
                     score, count = s, n
         return score, count
