@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import urls
 from tidewell.operators import markdown, rewrite
+from tidewell.operators.crawl import staged
 
 
 def common_prefix(low: Column, high: Column, n: Column) -> Column:
@@ -37,8 +38,12 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 def link_check(docs: DataFrame) -> DataFrame:
-    """(file_path, content) -> file_path, content, changed after relinking the corpus."""
-    known = entries(docs)
+    """(file_path, content) -> file_path, content, changed after relinking the corpus.
+
+    The documents' own URLs need Python and are wanted by five parts of the
+    plan, so they are written out once.
+    """
+    known = staged(entries(docs))
     scopes = scope_prefixes(known).select("origin", "scope")
     ready = known.join(scopes, "origin", "left").withColumns({"scope": F.coalesce("scope", F.lit("/")), "before": F.col("content")})
     done = rewrite.rewrite(ready, known, "content")

@@ -70,10 +70,27 @@ def linked(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.alias("m"), "url")
 
 
-@query("SELECT page_id, 'one=/a/' || page_id || '; two=https://o.com/x' AS links, ' \"t\"' AS suffix FROM pages")
+#: Whole documents in which some words are links, images and links with a title.
+_WORDY = """w AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w, i: CASE WHEN (i + doc_id) % 5 = 0 THEN '[' || w || '](/' || i || ')' WHEN (i + doc_id) % 7 = 0 THEN '![' || w || '](i.png)' WHEN (i + doc_id) % 11 = 0 THEN '[x ' || i || '](<https://o.com/' || i || '> "t")' ELSE w END), ' ') AS m FROM documents),
+    l AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(m, '!?\\[[^\\]]+\\]\\([^)]+\\)'), lambda x: NOT starts_with(x, '!')), lambda x: {'label': regexp_extract(x, '^\\[([^\\]]+)\\]', 1), 'raw': regexp_extract(x, '\\]\\(([^)]+)\\)$', 1)}) AS l FROM w)"""
+
+
+@query(
+    f"""WITH {_WORDY} SELECT doc_id, md5(array_to_string(list_transform(l, lambda x: x.label || '=' || regexp_replace(regexp_extract(trim(x.raw), '^\\S*'), '^<(.*)>$', '\\1')), '; ')) AS links, len(list_filter(l, lambda x: regexp_matches(trim(x.raw), '\\s'))) AS n_titled FROM l"""
+)
 def md_inline_links(spark, sf_dir):
-    found = linked(spark, sf_dir).select("page_id", F.transform(markdown.inline_links("m"), lambda x: F.struct(x["label"].alias("label"), markdown.parse_href(x["raw"]).alias("p"))).alias("l"))
-    return found.select("page_id", F.array_join(F.transform("l", lambda x: F.concat(x["label"], F.lit("="), x["p"]["href"])), "; ").alias("links"), F.get("l", F.lit(0))["p"]["suffix"].alias("suffix"))
+    k = lambda i: i + 1 + F.col("doc_id")
+    n = lambda i: (i + 1).cast("string")
+    word = lambda w, i: (
+        F.when(k(i) % 5 == 0, F.concat(F.lit("["), w, F.lit("](/"), n(i), F.lit(")")))
+        .when(k(i) % 7 == 0, F.concat(F.lit("!["), w, F.lit("](i.png)")))
+        .when(k(i) % 11 == 0, F.concat(F.lit("[x "), n(i), F.lit("](<https://o.com/"), n(i), F.lit('> "t")')))
+        .otherwise(w)
+    )
+    m = documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), " "), word), " ").alias("m"))
+    found = m.select("doc_id", F.transform(markdown.inline_links("m"), lambda x: F.struct(x["label"].alias("label"), markdown.parse_href(x["raw"]).alias("p"))).alias("l"))
+    titled = F.size(F.filter("l", lambda x: x["p"]["suffix"] != "")).cast("bigint")
+    return found.select("doc_id", F.md5(F.array_join(F.transform("l", lambda x: F.concat(x["label"], F.lit("="), x["p"]["href"])), "; ")).alias("links"), titled.alias("n_titled"))
 
 
 @query(f"WITH m AS ({_LINKED}) SELECT page_id, array_to_string(regexp_extract_all(m, '(?m)^[ \\t]*\\[[^\\]]+\\]:\\s*(\\S+).*$', 1), ' ') AS refs, array_to_string(regexp_extract_all(m, '<\\s*(https?://[^>\\s]+)\\s*>', 1), ' ') AS autos FROM m")
