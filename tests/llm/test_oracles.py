@@ -5,9 +5,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidewell.llm import chat, queries, secrets
+from tidewell.llm import chat, common, queries, secrets
 
 TABLES = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>", "conversations": "conv_id long, turn int, role string, text string"}
 
@@ -89,6 +90,25 @@ def test_query_matches_sql(spark, made, name):
     assert df.where(seen[name]).count()  # the tables do exercise it
 
 
+def test_written_tables_have_few_files_and_all_rows(spark):
+    many = spark.range(0, 5000, 1, 60)
+    kept = common.staged(many, many)
+    assert kept.count() == 5000 and len(kept.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    assert common.staged(many).count() == 5000
+
+
+def test_batches_follow_bytes_and_texts_stay_whole(spark):
+    rows = [(k, "wörd " * (400_000 if k % 5 == 0 else 3)) for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": [len(t) for t in b.column("text").to_pylist()], "rows": [b.num_rows] * b.num_rows})
+
+    got = common.id_text(table).mapInArrow(common.lean(sizes), "doc_id long, n long, rows long").collect()
+    assert {x["doc_id"]: x["n"] for x in got} == {k: len(t) for k, t in rows} and max(x["rows"] for x in got) < 20
+
+
 def test_quotes_meet_across_ranges_of_turns(spark, monkeypatch):
     monkeypatch.setattr(chat, "TURNS", 4)
     rows = [(1, 0, "u", "first words"), (1, 1, "u", "again")] + [(1, t, "u", "> again\nagain" if t % 2 else "> first words") for t in range(2, 21)]
