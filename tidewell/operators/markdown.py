@@ -80,19 +80,39 @@ def split_trailing_punctuation(url) -> Column:
     return F.struct(F.regexp_replace(u, r"[.,!?;:]+$", "").alias("url"), F.regexp_extract(u, r"([.,!?;:]+)$", 1).alias("trailing"))
 
 
+def fences(lines) -> Column:
+    """array<struct<a, b>>: first and last line of every fenced block; an open one lasts to the end.
+
+    Only the lines with a mark are folded over; a block ends at its own mark.
+    """
+    every = _col(lines)
+    marked = F.filter(F.transform(every, lambda line, i: F.struct(i.alias("i"), F.regexp_extract(line, r"^\s*(```|~~~)", 1).alias("mark"))), lambda m: m["mark"] != "")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(s, m):
+        closes = s["open"] == m["mark"]
+        now = F.when(s["open"] == "", m["mark"]).when(closes, F.lit("")).otherwise(s["open"])
+        begin = F.when(s["open"] == "", m["i"]).otherwise(s["begin"])
+        done = F.when(closes, F.concat(s["done"], F.array(F.struct(s["begin"].alias("a"), m["i"].alias("b"))))).otherwise(s["done"])
+        return F.struct(now.alias("open"), begin.alias("begin"), done.alias("done"))
+
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("begin"), none.alias("done"))
+    last = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["begin"].alias("a"), (F.size(every) - 1).alias("b")))))
+    return F.aggregate(marked, start, step, last)
+
+
 def fence_states(md) -> Column:
     """array<boolean>: for each line, whether it is a fence or inside one."""
     lines = F.split(_col(md), "\n")
+    # the blocks are a one-element array here, so that they are made once and not for every line
+    of = F.transform(F.array(fences(lines)), lambda found: F.concat(F.flatten(F.transform(found, lambda s, k: _block(found, s, k))), F.array_repeat(F.lit(False), F.size(lines) - 1 - F.coalesce(F.try_element_at(found, F.lit(-1))["b"], F.lit(-1)))))
+    return F.get(of, F.lit(0))
 
-    def step(s, line):
-        mark = F.regexp_extract(line, r"^\s*(```|~~~)", 1)
-        opens = (mark != "") & (s["open"] == "")
-        closes = (mark != "") & (s["open"] == mark)
-        now = F.when(opens, mark).when(closes, F.lit("")).otherwise(s["open"])
-        return F.struct(now.alias("open"), F.concat(s["skip"], F.array((mark != "") | (s["open"] != ""))).alias("skip"))
 
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("skip"))
-    return F.aggregate(lines, start, step, lambda s: s["skip"])
+def _block(found: Column, s: Column, k: Column) -> Column:
+    """States of the lines between the block before and this one, and of its own."""
+    before = F.coalesce(F.get(found, k - 1)["b"], F.lit(-1))
+    return F.concat(F.array_repeat(F.lit(False), s["a"] - before - 1), F.array_repeat(F.lit(True), s["b"] - s["a"] + 1))
 
 
 def simple_bare_urls(md) -> Column:

@@ -14,27 +14,33 @@ def search_paths(files: DataFrame, query: str) -> DataFrame:
     return hits.select("path", F.col("m.score").alias("score"), F.col("m.indices").alias("indices"))
 
 
-def content_matches(query: str, context: int = 2):
-    """array<struct> over ``content``: one for each line that holds the query."""
-    lines = F.split("content", "\n")
+def content_matches(query: str, lines: str, context: int = 2):
+    """array<struct> over an array of lines: one for each line that holds the query."""
+    every = F.col(lines)
+    hits = F.filter(F.transform(every, lambda line, i: F.struct(i.alias("i"), line.alias("line"), tx.substring_index(query, line).alias("at"))), lambda m: m["at"] >= 0)
 
-    def one(line, i):
+    def one(m):
         return F.struct(
-            (i + 1).alias("line_number"),
-            line.alias("line"),
-            tx.substring_index(query, line).alias("match_index"),
+            (m["i"] + 1).alias("line_number"),
+            m["line"].alias("line"),
+            m["at"].alias("match_index"),
             F.lit(len(query)).alias("match_length"),
-            F.slice(lines, F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context))).alias("context_before"),
-            F.slice(lines, i + 2, F.lit(context)).alias("context_after"),
+            F.slice(every, F.greatest(m["i"] - context, F.lit(0)) + 1, F.least(m["i"], F.lit(context))).alias("context_before"),
+            F.slice(every, m["i"] + 2, F.lit(context)).alias("context_after"),
         )
 
-    return F.filter(F.transform(lines, one), lambda m: m["match_index"] >= 0)
+    return F.transform(hits, one)
 
 
 def search_content(files: DataFrame, query: str, context: int = 2) -> DataFrame:
-    """(path, content) -> path, score, matches; no shuffle."""
-    held = files.where(F.lower("content").contains(query.lower())).select("path", content_matches(query, context).alias("matches"))
-    return held.where(F.size("matches") > 0).select("path", (F.size("matches") * 10.0 + len(query)).alias("score"), "matches")
+    """(path, content) -> path, score, matches; no shuffle.
+
+    A text is cut into lines once, below the expression that uses them; only
+    lines with a match get their context.
+    """
+    held = files.where(F.lower("content").contains(query.lower())).select("path", F.split("content", "\n").alias("lines"))
+    found = held.select("path", content_matches(query, "lines", context).alias("matches"))
+    return found.where(F.size("matches") > 0).select("path", (F.size("matches") * 10.0 + len(query)).alias("score"), "matches")
 
 
 def find(files: DataFrame, query: str, limit: int = 20, context: int = 2, files_only: bool = False, content_only: bool = False) -> DataFrame:

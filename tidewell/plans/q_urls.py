@@ -174,6 +174,7 @@ def external_links(spark, sf_dir):
     current = p.agg(F.min("url").alias("cur"))
     k = F.col("page_id") % 5
     href = F.when(k == 0, F.lit("#top")).when(k == 1, F.lit("mailto:a@b.c")).when(k == 2, F.lit("tel:1")).otherwise(F.col("url"))
+    # one row, a minimum over all pages
     return p.crossJoin(F.broadcast(current)).select("page_id", href.alias("href"), urls.is_external(href, "url", "cur").alias("external"))
 
 
