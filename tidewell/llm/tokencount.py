@@ -1,6 +1,6 @@
 """Token counts under a unigram tokenizer by dynamic programming on a trie.
 
-A step's distinct pre-tokens are inserted in a trie. A node is a prefix, and
+Distinct pre-tokens are inserted in a trie. A node is a prefix, and
 the best segmentation of a prefix depends on nothing after it, so its forward
 score is computed once, when the node is made, however many pre-tokens pass
 through it. Terminal nodes hold the pre-token's token count.
@@ -48,57 +48,85 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Prefixes of pre-tokens with (forward score, tokens) of their best segmentation.
+    """Prefixes of pre-tokens with (children, forward score, tokens, state) of their best segmentation.
 
-    A better segmentation has the higher score, then the fewer tokens.
+    A better segmentation has the higher score, then the fewer tokens. The
+    state is that of an Aho-Corasick automaton of the pieces after the prefix;
+    it knows all pieces that end there.
     """
 
     def __init__(self, pieces: dict[str, float]) -> None:
-        self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
-        self.tails = {p[i:] for p in pieces for i in range(len(p))}
         self.byte = min(pieces.values(), default=-1.0) * 2
+        self.go: list[dict[str, int]] = [{}]
+        self.ending: list[tuple[tuple[int, float], ...]] = [()]
+        for piece, score in pieces.items():
+            at = 0
+            for c in piece:
+                if c not in self.go[at]:
+                    self.go[at][c] = len(self.go)
+                    self.go.append({})
+                    self.ending.append(())
+                at = self.go[at][c]
+            self.ending[at] = ((len(piece), score),)
+        self.fail = [0] * len(self.go)
+        order = list(self.go[0].values())
+        for at in order:  # grows by what follows, so shorter prefixes come first
+            for c, to in self.go[at].items():
+                order.append(to)
+                self.fail[to] = self.follow(self.fail[at], c)
+                self.ending[to] += self.ending[self.fail[to]]
         self.known: dict[str, int] = {}
         self.clear()
 
+    def follow(self, state: int, c: str) -> int:
+        row = self.go[state]
+        while state and c not in row:
+            state = self.fail[state]
+            row = self.go[state]
+        return row.get(c, 0)
+
     def clear(self) -> None:
-        self.root: list = [{}, 0.0, 0]
+        self.root: list = [{}, 0.0, 0, 0]
         self.size = 1
 
     def insert(self, word: str) -> int:
         """Tokens of a pre-token, without the leading mark in ``word``."""
         text = MARK + word
-        node, path, base = self.root, [self.root], 0  # the states of the prefixes from length base on
-        for i, c in enumerate(text):
-            child = node[0].get(c) if i < DEPTH else None
+        node, path = self.root, [self.root]
+        for c in text[:DEPTH]:
+            child = node[0].get(c)
             if child is None:
-                child = [{}, *self.forward(text, i + 1, path, base)]
-                if i < DEPTH:
-                    node[0][c] = child
-                    self.size += 1
+                break
             path.append(child)
             node = child
+        known = len(path) - 1
+        go, fail, ending, byte = self.go, self.fail, self.ending, self.byte
+        children, score, count, state = node
+        for i, c in enumerate(text[known:], known):
+            row = go[state]
+            while state and c not in row:
+                state = fail[state]
+                row = go[state]
+            state = row.get(c, 0)
+            width = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+            score, count = score + byte * width, count + width
+            for length, own in ending[state]:
+                before = path[-length]
+                s = before[1] + own
+                if s > score or s == score and before[2] + 1 < count:
+                    score, count = s, before[2] + 1
+            child = [{}, score, count, state]
+            if i < DEPTH:
+                children[c] = child
+                children = child[0]
+            path.append(child)
             if len(path) > DEPTH + self.longest:
-                base += len(path) - self.longest
                 del path[: -self.longest]
+        self.size += max(0, min(len(text), DEPTH) - known)
         if len(text) <= DEPTH:
-            self.known[word] = node[2]
-        return node[2]
-
-    def forward(self, text: str, end: int, path: list, base: int) -> tuple[float, int]:
-        width = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        before = path[end - 1 - base]
-        score, count = before[1] + self.byte * width, before[2] + width
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            piece = text[start:end]
-            if piece not in self.tails:
-                break
-            own = self.pieces.get(piece)
-            if own is not None:
-                s, n = path[start - base][1] + own, path[start - base][2] + 1
-                if s > score or s == score and n < count:
-                    score, count = s, n
-        return score, count
+            self.known[word] = count
+        return count
 
     def counts(self, words: list[str]) -> int:
         found = list(map(self.known.get, words))
