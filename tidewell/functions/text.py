@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as web engines count it.
+#: Fixed value: the white space of the text rules.
 WS = r"[\t\n\x0B\f\r    -     　﻿]"
 
 
@@ -69,6 +70,7 @@ def highlight(text, indices) -> Column:
 
 # ---- rolling hash and Bloom positions
 
+#: Seeds of the two rolling hashes.
 SEEDS = (0x811C9DC5, 0x9E3779B1)
 
 

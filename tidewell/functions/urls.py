@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+#: Fixed value: endings of files that hold no page.
 BLOCKED = "png|jpe?g|gif|svg|webp|ico|pdf|zip|tar|gz|mp4|mp3|woff2?|ttf|eot|css|js"
 _URL = r"^([a-z][a-z0-9+.-]*)://([^/?#:]*)(?::([0-9]+))?([^?#]*)(\?[^#]*)?(#.*)?$"
 

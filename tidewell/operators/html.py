@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidewell.functions.urls import BLOCKED, canonical_url
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: What is taken out of a page, in this order.
 CLUTTER = ("nav", "header", "footer", "script", "style", "iframe", "svg", "noscript", "template", "form", "button", "input", "@skip")
 BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _ENDS = {"li": {"li"}, "p": BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}

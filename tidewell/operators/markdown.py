@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import urls
 
+#: Shapes of frontmatter and headings.
 FRONT = r"\A(---\s*\n(?s:.*?)\n---\s*\n)((?s:.*))\z"
 HEADING = r"(?m)^#{1,6}\s+(.+?)\s*$"
 

@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from tidewell.functions.urls import BLOCKED, canonical_url, href_target
 
+#: The shapes of links that are rewritten, and the sign of those that lead away.
 _INLINE = re.compile(r"(!?)\[([^\]]+)\]\(([^)]+)\)")
 _REFERENCE = re.compile(r"(^[ \t]*\[[^\]]+\]:\s*)(\S+)(.*)$", re.M)
 _REFERENCE_LINE = re.compile(r"[ \t]*\[[^\]]+\]:\s*\S+")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as tx
 from tidewell.functions import urls
 
+#: Fixed value: what a request for a Markdown source asks for.
 MARKDOWN_ACCEPT = "text/markdown,text/plain;q=0.9,*/*;q=0.8"
 
 

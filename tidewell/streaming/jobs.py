@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Fixed value: how long an idle origin is remembered.
 IDLE_MS = 45_000
 
 
