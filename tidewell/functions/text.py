@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as web engines count it.
-#: Fixed value: the white space of the text rules.
+#: Fixed value: white space as web engines count it.
 WS = r"[\t\n\x0B\f\r    -     　﻿]"
 
 

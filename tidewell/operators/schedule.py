@@ -61,6 +61,11 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("type", "seq").alias("state"), F.count("*").alias("n_events"), F.min(F.when(F.col("type") == "fetch", F.col("seq"))).alias("started_seq"))
 
 
+def with_job(messages: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Messages (job_id, ...) with the columns of their job; those of unknown jobs are dropped, as are repeats of a job."""
+    return messages.join(jobs.dropDuplicates(["job_id"]), "job_id")
+
+
 def counters(jobs: DataFrame) -> DataFrame:
     """saved, failed, visited, skipped of (outcome) rows."""
     saved, failed = F.count_if(F.col("outcome") == "completed"), F.count_if(F.col("outcome") == "failed")

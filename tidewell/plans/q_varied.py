@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import urls
 from tidewell.operators import crawl, html, rewrite, schedule
+from tidewell.operators import links as lk
 from tidewell.plans import commands
 from tidewell.plans.catalog import query, table
 from tidewell.plans.q_html import _BODY, _HEAD, _MARKDOWN, _PAGE, FETCHED
@@ -194,3 +195,53 @@ def failure_summary(spark, sf_dir):
 @query(f"WITH {_JOBS} SELECT seq, coalesce(sum(CASE WHEN outcome = 'completed' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 100 AS stops FROM jobs")
 def graceful_stop(spark, sf_dir):
     return schedule.stopped(jobs(spark, sf_dir).select("seq", "outcome"), 100).select("seq", "stops")
+
+
+# ---- bases, Source values, rule paths, and look-ups at dispatch
+
+
+@query(
+    f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/deep/' WHEN 1 THEN 'https://b.example.org/x/' WHEN 2 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//c.example.org/y'
+    WHEN 3 THEN 'https://d.example.org/' ELSE url END AS base FROM pages"""
+)
+def document_bases(spark, sf_dir):
+    k = F.col("page_id") % 5
+    tag = F.when(k == 0, F.lit('<base href="/deep/">')).when(k == 1, F.lit("<BASE target=x href='https://b.example.org/x/'><base href=\"/no/\">")).when(k == 2, F.lit('<base href="//c.example.org/y">')).when(k == 3, F.lit('<base id="i" href="https://d.example.org">')).otherwise(F.lit("<p>"))
+    return table(spark, sf_dir, "pages").select("page_id", lk.base_url(F.concat(tag, "html"), F.col("url")).alias("base"))
+
+
+@query(
+    """WITH v AS (SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '<' || url || '> ↗' WHEN 2 THEN '[' || url || '](page.md)' WHEN 3 THEN '[label](' || url || ') ↗ ' WHEN 4 THEN '[label ' || page_id || '](page.md)' ELSE '  ↗' END AS raw FROM pages)
+    SELECT page_id, raw, CASE WHEN contains(raw, url) THEN url WHEN page_id % 6 = 4 THEN 'label ' || page_id END AS value FROM v"""
+)
+def source_values(spark, sf_dir):
+    k, u = F.col("page_id") % 6, F.col("url")
+    raw = (
+        F.when(k == 0, u)
+        .when(k == 1, F.concat(F.lit("<"), u, F.lit("> ↗")))
+        .when(k == 2, F.concat(F.lit("["), u, F.lit("](page.md)")))
+        .when(k == 3, F.concat(F.lit("[label]("), u, F.lit(") ↗ ")))
+        .when(k == 4, F.concat(F.lit("[label "), _number(), F.lit("](page.md)")))
+        .otherwise(F.lit("  ↗"))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), urls.normalize_source_value(raw).alias("value"))
+
+
+@query("SELECT page_id, regexp_replace(CASE WHEN page_id % 2 = 0 THEN url ELSE '/' || url END, '^/?', '/') AS rule FROM pages")
+def robots_rule_paths(spark, sf_dir):
+    raw = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/"), "url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize_rule_path(raw).alias("rule"))
+
+
+@query(f"WITH {_JOBS} SELECT seq, origin FROM jobs WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE outcome = 'failed' AND links_discovered IS NOT NULL)")
+def dispatch_unvisited(spark, sf_dir):
+    e = jobs(spark, sf_dir)
+    visited = e.where("outcome = 'failed' and links_discovered is not null").select(F.col("job_id").alias("url")).distinct()
+    return lk.new_only(e.withColumn("target", F.col("job_id")), visited).select("seq", "origin")
+
+
+@query(f"WITH {_JOBS}, j AS (SELECT DISTINCT job_id, origin FROM jobs WHERE job_id % 3 = 0) SELECT seq, job_id, type, j.origin AS job_origin FROM jobs JOIN j USING (job_id)")
+def job_lookup(spark, sf_dir):
+    e = jobs(spark, sf_dir)
+    known = e.where("job_id % 3 = 0").select("job_id", F.col("origin").alias("job_origin"))
+    return schedule.with_job(e.select("seq", "job_id", "type"), known)
