@@ -119,12 +119,23 @@ def test_decontamination_in_blocks_is_the_same(spark, monkeypatch):
     rows = [(1, "w1 " * 12 + "x " + "w4 " * 10), (2, "w3 " * 9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = decontam.contamination(docs(spark, rows), bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontam, "ITEMS_BYTES", 40)
+    monkeypatch.setattr(decontam, "ITEMS_WORDS", 7)
     assert decontam.contamination(docs(spark, rows), bench).orderBy("doc_id").collect() == whole
     assert whole[0]["items"] == [1, 4] and whole[0]["n_hit"] == 22
     assert decontam.contamination(docs(spark, rows), bench.where("false")).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+def test_an_item_longer_than_a_block_keeps_all_its_windows(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(5, " ".join(words)), (6, "w3 w4"), (None, " ".join(words[20:45]))], "item_id long, text string")
+    rows = [(k, f"x {' '.join(words[k : k + 10])} y") for k in range(51)] + [(99, " ".join(words[:9])), (100, " ".join(words))]
+    whole = decontam.contamination(docs(spark, rows), bench).orderBy("doc_id").collect()
+    assert all(x["n_hit"] == 10 and 5 in x["items"] for x in whole[:51]) and whole[51]["n_hit"] == 2 and whole[52]["n_hit"] == 60
+    for n in (1, 11, 60, 61):
+        monkeypatch.setattr(decontam, "ITEMS_WORDS", n if n > 1 else 13)
+        assert decontam.contamination(docs(spark, rows), bench).orderBy("doc_id").collect() == whole
+
+
 def test_decontaminated_in_blocks_is_the_same(spark, monkeypatch):
     w = [f"w{k}" for k in range(40)]
     items = [(1, " ".join(w[:12])), (2, " ".join(w[8:20])), (3, " ".join(w[25:35])), (4, " ".join(["left", *w[30:34], "right", "a", "b", "c", "d"]))]
@@ -133,7 +144,7 @@ def test_decontaminated_in_blocks_is_the_same(spark, monkeypatch):
     table = docs(spark, rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("spans", F.lit("own"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = decontam.decontaminated(table, bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontam, "ITEMS_BYTES", 10)
+    monkeypatch.setattr(decontam, "ITEMS_WORDS", 3)
     assert decontam.decontaminated(table, bench).orderBy("doc_id").collect() == whole
     assert decontam.decontaminated(table, bench.orderBy(F.desc("item_id"))).orderBy("doc_id").collect() == whole
     assert [x["text"] for x in whole] == ["start  end", "x,  y", None, "clean Text", ""] and whole[0]["n_chars"] == 10 and {x["spans"] for x in whole} == {"own"}
@@ -152,7 +163,7 @@ def test_fm_index_finds_all_occurrences():
     seq = np.concatenate([np.append(r.integers(1, 4, n), 0) for n in (5, 1, 40, 40, 200)])
     index = decontam.FmIndex(seq, 3)
     patterns = np.unique(r.integers(1, 4, (50, 4)), axis=0)
-    lo, hi = index.search(patterns)
+    lo, hi = index.search(patterns.ravel(), np.arange(len(patterns)) * 4, 4)
     for p, a, b in zip(patterns, lo, hi, strict=True):
         want = [i for i in range(len(seq) - 3) if (seq[i : i + 4] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want

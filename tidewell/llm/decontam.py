@@ -12,21 +12,21 @@ Nothing is shuffled.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import id_text, lean, small_batches, staged, text_steps
 
 WINDOW = 10
-#: Characters of text in a shard, and of benchmark text sent to the executors at once.
+#: Characters of text in a shard, and benchmark words sent to the executors at once.
 SHARD_CHARS = 6_000_000
-ITEMS_BYTES = 16_000_000
+ITEMS_WORDS = 1_000_000
 #: Every so many suffix positions are kept.
 SAMPLE = 16
 
@@ -92,12 +92,12 @@ class FmIndex:
     def before(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.first[symbol] + self.tree.descend(symbol, at) - self.base[symbol]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that start with each row of ``patterns``."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
-        alive = np.arange(len(patterns))
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[alive, k]
+    def search(self, words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the suffixes that start with the ``length`` words at each of ``starts``."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n)
+        alive = np.arange(len(starts))
+        for k in range(length - 1, -1, -1):
+            symbol = words[starts[alive] + k]
             lo[alive], hi[alive] = self.before(symbol, lo[alive]), self.before(symbol, hi[alive])
             alive = alive[lo[alive] < hi[alive]]
             if not len(alive):
@@ -120,22 +120,30 @@ class FmIndex:
 
 
 class Windows:
-    """The windows of some benchmark items, by length."""
+    """The windows of some runs of benchmark words, by length.
 
-    def __init__(self, items: list[tuple[int | None, str | None]], size: int = WINDOW) -> None:
+    Windows are places in the words they share, and their items lists in one
+    array, so a block takes a few times the bytes of its words as numbers.
+    """
+
+    def __init__(self, runs: list[tuple[int | None, list[bytes]]], size: int = WINDOW) -> None:
         self.symbols: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
-            for i in range(max(0, len(ids) - size) + 1 if ids else 0):
-                own = owners[tuple(ids[i : i + size])]
-                if item is not None:  # without an id it hits, but has no name
-                    own.add(item)
-        by: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for w in owners:
-            by[len(w)].append(w)
-        self.by_length = {n: (np.array(ws, np.int64), [sorted(owners[w]) for w in ws]) for n, ws in by.items()}
-        self.shortest = min(by, default=0)
+        runs = [(item, words) for item, words in runs if words]
+        many = np.fromiter((len(words) for _, words in runs), np.int64, len(runs))
+        self.words = np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 1) for _, words in runs for w in words), np.int32, int(many.sum()))
+        length = np.minimum(many, size)
+        count = many - length + 1
+        run = np.repeat(np.arange(len(runs)), count)
+        starts = np.arange(len(run)) + np.repeat(np.cumsum(many) - many - np.cumsum(count) + count, count)
+        named = np.array([item is not None for item, _ in runs], bool)  # without an id it hits, but has no name
+        names = np.array([item if item is not None else 0 for item, _ in runs], np.int64)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # places, and where each one's items begin among the items
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length[run] == n)
+            first, which = np.unique(self.words[starts[own][:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True)[1:]
+            pairs = np.unique(np.stack((which.ravel(), names[run[own]]))[:, named[run[own]]], axis=1)
+            self.by_length[n] = (starts[own][first], np.searchsorted(pairs[0], np.arange(len(first) + 1)), pairs[1])
+        self.shortest = min(self.by_length, default=0)
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
         """Word counts and, over all words of the shard, a 0/1 hit mark; the first word of each text; its items."""
@@ -156,8 +164,8 @@ class Windows:
                 sizes = end - begin + 1  # with the separator after it
                 place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
                 index = FmIndex(ids[place], len(self.symbols))
-                for n, (windows, owners) in self.by_length.items():
-                    lo, hi = index.search(windows)
+                for n, (windows, begin_items, items) in self.by_length.items():
+                    lo, hi = index.search(self.words, windows, n)
                     which = np.flatnonzero(hi > lo)
                     if not len(which):
                         continue
@@ -169,20 +177,34 @@ class Windows:
                     doc = np.searchsorted(firsts, at, side="right") - 1
                     pairs = np.unique(np.stack((doc, np.repeat(which, many))), axis=1)
                     for d, w in pairs.T.tolist():
-                        found[d].update(owners[w])
+                        found[d].update(items[begin_items[w] : begin_items[w + 1]].tolist())
         return counts, np.cumsum(marks[:-1]) > 0, firsts, found
 
 
-def _blocks(bench: DataFrame, size: int) -> Iterator[Windows]:
-    """Benchmark items in blocks whose text is bounded; an item is never split."""
-    items, held = [], 0
+def _blocks(bench: DataFrame, size: int) -> Iterator[Broadcast]:
+    """The windows of the benchmark in blocks of at most ``ITEMS_WORDS`` words and one window.
+
+    An item that goes over a block's end goes on in the next one with all
+    windows that the first lacks, so that blocks have a size however long an
+    item is. A block is sent to the executors once.
+    """
+    send = bench.sparkSession.sparkContext.broadcast
+    runs: list[tuple[int | None, list[bytes]]] = []
+    held, sent = 0, False
     for r in bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        items.append((r[0], r[1]))
-        held += len(r[1] or "")
-        if held >= ITEMS_BYTES:
-            yield Windows(items, size)
-            items, held = [], 0
-    yield Windows(items, size)
+        words, at = words_of(r[1]), 0
+        while True:
+            end = min(len(words), at + max(1, ITEMS_WORDS - held) + size - 1)
+            runs.append((r[0], words[at:end]))
+            held += end - at
+            if held >= ITEMS_WORDS:
+                yield send(Windows(runs, size))
+                runs, held, sent = [], 0, True
+            if end == len(words):
+                break
+            at = end - size + 1
+    if runs or not sent:
+        yield send(Windows(runs, size))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -192,7 +214,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
     exclusive, comma-joined. Null or empty texts have no words and no hits;
     items without words have no windows; words of items with a null id are
     hit, and only the id is left out of items; an empty benchmark hits nothing. Repeated rows are scored each.
-    A benchmark beyond ``ITEMS_BYTES`` is applied in blocks, one staged pass
+    A benchmark beyond ``ITEMS_WORDS`` is applied in blocks, one staged pass
     for each, so what is sent to executors is bounded.
     """
     out = None
@@ -204,7 +226,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
 
         def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
             for piece, texts in text_steps(batches, SHARD_CHARS):
-                counts, hit, firsts, found = windows.hits(texts)
+                counts, hit, firsts, found = windows.value.hits(texts)
                 spans, n_hit = [], []
                 for c, f, earlier in zip(counts.tolist(), firsts.tolist(), piece.column("spans").to_pylist(), strict=True):
                     own = hit[f : f + c]
@@ -239,7 +261,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Dat
 
     A text is cut again while words on both sides of a cut form a window.
     n_chars, where there is one, follows the text. Texts without a hit come
-    back as they are, nulls as nulls. A benchmark beyond ``ITEMS_BYTES`` is
+    back as they are, nulls as nulls. A benchmark beyond ``ITEMS_WORDS`` is
     marked block by block and cut once by the union, in staged rounds until
     no block hits.
     """
@@ -253,7 +275,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Dat
             todo = list(range(len(texts)))
             changed = set()
             while todo:
-                counts, hit, firsts, _ = windows.hits([texts[i] for i in todo])
+                counts, hit, firsts, _ = windows.value.hits([texts[i] for i in todo])
                 own = [hit[f : f + c] for f, c in zip(firsts.tolist(), counts.tolist(), strict=True)]
                 again = [k for k, x in enumerate(own) if x.any()]
                 for k in again:
@@ -305,7 +327,7 @@ def _cut_by_blocks(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
                 for piece, texts in text_steps(batches, SHARD_CHARS):
                     marks = piece.column(spans).to_pylist()
                     live = [i for i, said in enumerate(marks) if said is not None]
-                    counts, hit, firsts, _ = windows.hits([texts[i] for i in live])
+                    counts, hit, firsts, _ = windows.value.hits([texts[i] for i in live])
                     for i, c, f in zip(live, counts.tolist(), firsts.tolist(), strict=True):
                         own = hit[f : f + c] | _marked(c, marks[i])
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).tolist()
