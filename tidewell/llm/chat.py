@@ -21,63 +21,47 @@ TURNS = 256
 _MARKS = "regexp_extract({}, '^((?:[ \\\\t]*>)*)', 1)"
 
 
-def _lines(messages: DataFrame) -> DataFrame:
-    """``messages`` with their lines: quote level, and body in lower case with runs of blanks as one blank."""
-    folded = "trim(regexp_replace(lower({}), '[ \\\\t\\\\r\\\\n]+', ' '))"
-    return messages.withColumn(
-        "lines",
-        F.expr(f"transform(split(text, '\\n', -1), l -> named_struct('level', length(replace(replace({_MARKS.format('l')}, ' ', ''), '\\t', '')), 'body', {folded.format(f'substring(l, length({_MARKS.format("l")}) + 1)')}))"),
-    )
-
-
-def said_lines(messages: DataFrame) -> DataFrame:
-    """One row per non-blank line: conv_id, turn, level, h1, h2."""
-    each = _lines(messages).select("conv_id", "turn", F.explode(F.expr("filter(lines, l -> l.body <> '')")).alias("l"))
-    return each.select("conv_id", "turn", F.col("l.level").alias("level"), F.xxhash64("l.body").alias("h1"), F.xxhash64(F.lit(1), "l.body").alias("h2"))
-
-
-def passages(messages: DataFrame) -> DataFrame:
-    """One row per passage: conv_id, turn, level (0: own words), part, h1, h2.
+def said(messages: DataFrame) -> DataFrame:
+    """One row per passage (kind 0) and non-blank line (kind 1): conv_id, turn, kind, level, h1, h2.
 
-    A passage is a run of non-blank lines of one quote level; its hash is of
-    its lines in lower case with runs of blanks as one blank.
+    Level 0 are own words. A passage is a run of non-blank lines of one quote
+    level; hashes are of lower case with runs of blanks as one blank.
     """
-    lines = _lines(messages)
+    folded = "trim(regexp_replace(lower({}), '[ \\t\\r\\n]+', ' '))"
+    lines = messages.select(
+        "conv_id",
+        "turn",
+        F.expr(f"transform(split(text, '\n', -1), l -> named_struct('level', length(replace(replace({_MARKS.format('l')}, ' ', ''), '\t', '')), 'body', {folded.format(f'substring(l, length({_MARKS.format("l")}) + 1)')}))").alias("lines"),
+    )
     # a passage begins where the level changes or a blank line ends
     starts = "filter(sequence(0, size(lines) - 1), i -> lines[i].body <> '' and (i = 0 or lines[greatest(i - 1, 0)].body = '' or lines[greatest(i - 1, 0)].level <> lines[i].level))"
-    cut = lines.withColumn("starts", F.expr(starts)).select("conv_id", "turn", "lines", F.expr("posexplode(transform(starts, (s, k) -> named_struct('s', s, 'e', coalesce(get(starts, k + 1), size(lines)))))").alias("part", "span"))
-    said = "array_join(filter(transform(slice(lines, span.s + 1, span.e - span.s), l -> l.body), b -> b <> ''), ' ')"
-    return cut.select("conv_id", "turn", F.expr("lines[span.s].level").alias("level"), "part", F.expr(said).alias("said")).select("conv_id", "turn", "level", "part", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"))
+    cut = lines.select("conv_id", "turn", "lines", F.expr(starts).alias("starts"))
+    whole = "array_join(filter(transform(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), l -> l.body), b -> b <> ''), ' ')"
+    every = f"concat(transform(starts, (s, k) -> named_struct('kind', 0, 'level', lines[s].level, 'said', {whole})), transform(filter(lines, l -> l.body <> ''), l -> named_struct('kind', 1, 'level', l.level, 'said', l.body)))"
+    each = cut.select("conv_id", "turn", F.expr(f"explode({every})").alias("e"))
+    return each.select("conv_id", "turn", "e.kind", "e.level", F.xxhash64("e.said").alias("h1"), F.xxhash64(F.lit(1), "e.said").alias("h2"))
 
 
-def parents(parts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent): the latest earlier turn whose own passage the turn quotes.
+def parents(told: DataFrame) -> DataFrame:
+    """What ``said`` gives -> (conv_id, turn, parent): the latest earlier turn whose own words the turn quotes.
 
     What is quoted at the outermost level decides; deeper levels only where
     no outer one is found. Within a level whole passages decide; its single
-    lines only where no passage is found.
-    """
-    met = _met(parts, 0).unionByName(_met(lines, 1))
-    return met.groupBy("conv_id", "turn").agg(F.min_by("said_in", F.struct("level", "kind")).alias("parent"))
-
-
-def _met(said: DataFrame, kind: int) -> DataFrame:
-    """(conv_id, turn, level, kind, said_in): the latest turn that says what each turn quotes at each level.
-
-    Quotes and sayings of a text meet in order of turns, in ranges of
-    ``TURNS`` turns and then over the ranges' last sayings, so that what a long
-    conversation says and quotes again and again makes no pairs.
+    lines only where no passage is found. Quotes and sayings of a text meet in
+    order of turns, in ranges of ``TURNS`` turns and then over the ranges'
+    last sayings, so that what a long conversation says and quotes again and
+    again makes no pairs.
     """
-    key = ["conv_id", "h1", "h2"]
-    each = said.select(*key, "turn", "level")
-    quoted = each.where("level > 0").distinct()
-    own = each.where("level = 0").join(quoted.select(key).distinct(), key, "left_semi").distinct()
+    key = ["conv_id", "kind", "h1", "h2"]
+    quoted = told.where("level > 0").select(*key, "turn", "level").distinct()
+    own = told.where("level = 0").join(quoted.select(key).distinct(), key, "left_semi").select(*key, "turn", "level").distinct()
     rows = quoted.unionByName(own).withColumns({"reach": F.expr(f"turn div {TURNS}"), "said": F.when(F.col("level") == 0, F.col("turn"))})
     near = F.max("said").over(Window.partitionBy(*key, "reach").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
     far = F.max("last").over(Window.partitionBy(*key).orderBy("reach").rowsBetween(Window.unboundedPreceding, -1))
     before = rows.groupBy(*key, "reach").agg(F.max("said").alias("last")).select(*key, "reach", far.alias("far"))
     found = rows.withColumn("near", near).where("level > 0").join(before, [*key, "reach"]).withColumn("said_in", F.coalesce("near", "far")).where("said_in is not null")
-    return found.groupBy("conv_id", "turn", "level").agg(F.max("said_in").alias("said_in")).withColumn("kind", F.lit(kind))
+    best = found.groupBy("conv_id", "turn", "level", "kind").agg(F.max("said_in").alias("said_in"))
+    return best.groupBy("conv_id", "turn").agg(F.min_by("said_in", F.struct("level", "kind")).alias("parent"))
 
 
 def _threads(links: DataFrame, messages: DataFrame) -> DataFrame:
@@ -103,7 +87,10 @@ def formatted(table: DataFrame) -> DataFrame:
     """
     messages = table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = messages.where("conv_id is not null and turn is not null")
-    links = staged(parents(passages(known), said_lines(known)), table)
+    # only conversations in which anything is quoted are taken apart
+    quoting = known.where("text like '%>%'").where(F.expr("text rlike '(?m)^[ \\t]*>'")).select("conv_id").distinct()
+    told = staged(said(known.join(quoting, "conv_id", "left_semi")), table)
+    links = staged(parents(told), table)
     threads = _threads(links, table).join(links, ["conv_id", "turn"])
     level = f"length({_MARKS.format('l')}) > 0"
     clean = messages.withColumns(
