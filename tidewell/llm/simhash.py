@@ -27,6 +27,8 @@ SEED = 42
 #: Fingerprints in a block (8 bytes each) and in a tile.
 BLOCK = 32_768
 TILE = 512
+#: Pairs of blocks in a task at least, where there are thousands of tasks.
+PAIRS = 64
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -158,7 +160,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, docs: D
                 u, v = forest(x, None if one["b"] == one["c"] else np.frombuffer(one["y"][0], np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return small_batches(work).select("b", "c", "x", "y").repartition(max(1, min(pairs.count(), 4096)), "b", "c").mapInArrow(lean(compare), "u long, v long")
+    many = pairs.count()
+    tasks = min(many, max(4096, many // PAIRS))  # a pair is a second's work at most, so a task stays short at any size
+    return small_batches(work).select("b", "c", "x", "y").repartition(max(1, tasks), "b", "c").mapInArrow(lean(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
