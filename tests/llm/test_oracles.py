@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewell.llm import chat, common, queries, secrets
+from tidewell.llm import chat, common, linededup, queries, secrets
 
 TABLES = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>", "conversations": "conv_id long, turn int, role string, text string"}
 
@@ -114,3 +114,16 @@ def test_quotes_meet_across_ranges_of_turns(spark, monkeypatch):
     rows = [(1, 0, "u", "first words"), (1, 1, "u", "again")] + [(1, t, "u", "> again\nagain" if t % 2 else "> first words") for t in range(2, 21)]
     got = {x["turn"]: x["parent_turn"] for x in chat.formatted(spark.createDataFrame(rows, TABLES["conversations"])).collect()}
     assert got == {0: None, 1: None} | {t: (1 if t == 3 else t - 2) if t % 2 else 0 for t in range(2, 21)}
+
+
+@pytest.mark.parametrize("module,name", [(linededup, "op1_line_dedup"), (chat, "op5_chat_formatting")])
+def test_native_operators_have_no_python_in_any_plan(spark, made, monkeypatch, module, name):
+    plans, write = [], module.staged
+
+    def told(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *more)
+
+    monkeypatch.setattr(module, "staged", told)
+    plans.append(queries.QUERIES[name](spark, made[0])._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
