@@ -484,3 +484,17 @@ def test_rewrite_of_several_columns_keeps_rows_apart(spark):
     known = spark.createDataFrame([("https://e.org/a",), ("https://e.org/b",)], "url string")
     got = sorted(map(tuple, rewrite.rewrite(docs, known, "markdown", "other").collect()), key=repr)
     assert got == sorted([("https://e.org/a", "[b](../b/page.md)", "[a](page.md) [c](/c)"), *[("https://e.org/a", "[c](/c)", None)] * 2], key=repr)
+
+
+def test_package_offers_the_commands(spark):
+    import tidewell
+
+    assert all(callable(getattr(tidewell, name)) for name in tidewell.__all__)
+    with pytest.raises(AttributeError):
+        tidewell.nothing  # noqa: B018
+    body = "<title>T</title><main><p>Text of the page.</p><a href='/g/a'>in</a> <a href='/else'>out</a> <a href='/g'>self</a></main>"
+    pages = spark.createDataFrame([("https://h.org/g#x", body), ("https://h.org/other", "no")], "url string, html string")
+    one = tidewell.scrape_one(pages, "https://h.org/g?q=1", "now").collect()
+    assert [(r["url"], r["links"]) for r in one] == [("https://h.org/g", ["https://h.org/g", "https://h.org/g/a"])]
+    assert one[0]["markdown"].startswith("---\nSource: https://h.org/g\nFetched: now\n---\n\n# T\n") and "Text of the page." in one[0]["markdown"]
+    assert tidewell.scrape_one(pages, "https://h.org/none", "now").count() == 0

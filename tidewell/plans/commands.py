@@ -8,6 +8,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import fields
 from datetime import datetime, timezone
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,17 @@ def scrape_urls(pages: DataFrame, wanted: DataFrame, fetched_at: str) -> DataFra
     return rewrite.rewrite(scrape(todo, fetch.from_snapshot(todo, known), fetched_at), todo)
 
 
+def scrape_one(pages: DataFrame, url: str, fetched_at: str, markdown_sources: DataFrame | None = None, render: bool = True) -> DataFrame:
+    """One page's documents as they are fetched, and links: the pages it leads to below its own path."""
+    todo = _wanted(pages.sparkSession.createDataFrame([(url,)], "url string"))
+    at = urlsplit(urls.canonical_url(url) or "")
+    known = pages.withColumn("url", urls.normalize_for_queue("url")).groupBy("url").agg(F.min("html").alias("html"))
+    fetched = fetch.from_snapshot(todo, known, markdown_sources, render=render)
+    docs = scrape(todo, fetched, fetched_at, at.path)
+    links = _links(fetched, fetched_at, f"{at.scheme}://{at.netloc}", at.path).groupBy("url").agg(F.array_sort(F.collect_set("target")).alias("links"))
+    return docs.join(links, "url", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+
+
 def scrape_live(wanted: DataFrame, fetched_at: str, options: CrawlOptions, get: Callable[[str, str | None], str] | None = None) -> DataFrame:
     """``scrape_urls`` over HTTP."""
     todo = _wanted(wanted)
