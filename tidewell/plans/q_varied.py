@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls
-from tidewell.operators import crawl, html, rewrite, schedule
+from tidewell.operators import crawl, html, markdown, rewrite, schedule
 from tidewell.operators import links as lk
 from tidewell.plans import commands
 from tidewell.plans.catalog import query, table
+from tidewell.plans.q_documents import md
 from tidewell.plans.q_html import _BODY, _HEAD, _MARKDOWN, _PAGE, FETCHED
 from tidewell.plans.q_schedule import _JOBS, jobs
 from tidewell.plans.q_urls import s_dir, s_norm, s_text_length
@@ -81,6 +82,14 @@ def rewrite_bare_links(spark, sf_dir):
     return _rewritten(spark, sf_dir, "see ", n, ", (", n, ") `", n, "` <", n, "> https://away.example.org/", _number(), ".\n~~~\n", n, "\n```\n", n, "\n~~~\n", n, "!")
 
 
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN regexp_extract('---' || {_NL} || 'Source: https://h.com/' || doc_id || {_NL} || 'Fetched: x' || {_NL} || '---' || {_NL} || {_NL} || text, '^(---\\s*\\n(?s:.*?)\\n---\\s*\\n)', 1) ELSE '' END AS front FROM documents"""
+)
+def rewrite_frontmatter(spark, sf_dir):
+    docs = md(spark, sf_dir).select("doc_id", F.concat(F.lit("https://h.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("m").alias("markdown"))
+    return rewrite.rewrite(docs, docs.select("url").where("false")).select("doc_id", markdown.frontmatter("markdown").alias("front"))
+
+
 # ---- sources
 
 #: The whole page as Markdown, its frontmatter, and how short it may be.
