@@ -97,6 +97,11 @@ def test_written_tables_have_few_files_and_all_rows(spark):
     assert common.staged(many).count() == 5000
 
 
+def test_written_stages_can_be_discarded(spark):
+    kept = common.staged(spark.range(5))
+    assert kept.count() == 5 and common.discard(spark) >= 1 and common.discard(spark) == 0
+
+
 def test_batches_follow_bytes_and_texts_stay_whole(spark):
     rows = [(k, "wörd " * (400_000 if k % 5 == 0 else 3)) for k in range(20)]
     table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)

@@ -79,6 +79,18 @@ def staged(df: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Remove this application's written stages; gives how many there were.
+
+    Results are lazy and read them, so store what is still wanted before.
+    """
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith(("stage-", "pipeline-"))]
+    return sum(bool(fs.delete(p, True)) for p in found)
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], step_chars: int = STEP_CHARS):
     """Cut Arrow batches of (id, text, ...) into pieces of bounded text.
 
