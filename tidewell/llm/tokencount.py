@@ -26,7 +26,7 @@ from tidewell.llm.common import id_text, lean, text_steps
 #: counts it remembers, and bytes of text in a step.
 NODES = 300_000
 #: Characters of a pre-token in the trie; of a longer one only the states within reach of a piece are held on.
-DEPTH = 1_000
+DEPTH = 64
 KNOWN = 900_000
 STEP = 100_000
 MARK = "▁"
@@ -48,11 +48,13 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Prefixes of pre-tokens with (children, forward score, tokens, state) of their best segmentation.
+    """Prefixes of pre-tokens with (forward score, tokens, state) of their best segmentation.
 
-    A better segmentation has the higher score, then the fewer tokens. The
-    state is that of an Aho-Corasick automaton of the pieces after the prefix;
-    it knows all pieces that end there.
+    The trie is hashed: a node is found by its prefix, so a new pre-token
+    begins at the longest prefix it shares with any before. A better
+    segmentation has the higher score, then the fewer tokens. The state is
+    that of an Aho-Corasick automaton of the pieces after the prefix; it knows
+    all pieces that end there.
     """
 
     def __init__(self, pieces: dict[str, float]) -> None:
@@ -87,43 +89,39 @@ class Trie:
         return row.get(c, 0)
 
     def clear(self) -> None:
-        self.root: list = [{}, 0.0, 0, 0]
-        self.size = 1
+        self.nodes: dict[str, tuple[float, int, int]] = {"": (0.0, 0, 0)}
 
     def insert(self, word: str) -> int:
         """Tokens of a pre-token, without the leading mark in ``word``."""
         text = MARK + word
-        node, path = self.root, [self.root]
-        for c in text[:DEPTH]:
-            child = node[0].get(c)
-            if child is None:
-                break
-            path.append(child)
-            node = child
-        known = len(path) - 1
-        go, fail, ending, byte = self.go, self.fail, self.ending, self.byte
-        children, score, count, state = node
-        for i, c in enumerate(text[known:], known):
+        nodes, go, fail, ending, byte = self.nodes, self.go, self.fail, self.ending, self.byte
+        known = deep = min(len(text), DEPTH)
+        while (node := nodes.get(text[:known])) is None:
+            known -= 1
+        score, count, state = node
+        path: list[tuple[float, int, int]] = []  # beyond the trie: the states of the last prefixes
+        for i in range(known, len(text)):
+            c = text[i]
             row = go[state]
             while state and c not in row:
                 state = fail[state]
                 row = go[state]
             state = row.get(c, 0)
             width = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+            if i == deep:
+                path = [nodes[text[:k]] for k in range(max(0, deep + 1 - self.longest), deep + 1)]
             score, count = score + byte * width, count + width
             for length, own in ending[state]:
-                before = path[-length]
-                s = before[1] + own
-                if s > score or s == score and before[2] + 1 < count:
-                    score, count = s, before[2] + 1
-            child = [{}, score, count, state]
-            if i < DEPTH:
-                children[c] = child
-                children = child[0]
-            path.append(child)
-            if len(path) > DEPTH + self.longest:
-                del path[: -self.longest]
-        self.size += max(0, min(len(text), DEPTH) - known)
+                before = nodes[text[: i + 1 - length]] if i < deep else path[-length]
+                s = before[0] + own
+                if s > score or s == score and before[1] + 1 < count:
+                    score, count = s, before[1] + 1
+            if i < deep:
+                nodes[text[: i + 1]] = (score, count, state)
+            else:
+                path.append((score, count, state))
+                if len(path) > 8 * self.longest:
+                    del path[: -self.longest]
         if len(text) <= DEPTH:
             self.known[word] = count
         return count
@@ -131,7 +129,7 @@ class Trie:
     def counts(self, words: list[str]) -> int:
         found = list(map(self.known.get, words))
         if None in found:
-            if self.size > NODES:
+            if len(self.nodes) > NODES:
                 self.clear()
             if len(self.known) > KNOWN:
                 self.known.clear()
