@@ -1,9 +1,9 @@
 """Token counts under a unigram tokenizer by dynamic programming on a trie.
 
-Distinct pre-tokens are inserted in a trie. A node is a prefix, and
-the best segmentation of a prefix depends on nothing after it, so its forward
-score is computed once, when the node is made, however many pre-tokens pass
-through it. Terminal nodes hold the pre-token's token count.
+Distinct pre-tokens are inserted in a trie. A node is a prefix, and the best
+segmentation of a prefix depends on nothing after it, so its forward score is
+computed once, when the node is made, however many pre-tokens pass through it.
+Terminal nodes hold the pre-token's token count.
 
 The pieces are those of a public sentencepiece file, which lists them by
 merit; the score of the piece of rank r is -log(r + 1) (Zipf's law). Nothing
@@ -25,10 +25,10 @@ from tidewell.llm.common import id_text, lean, text_steps
 #: Trie nodes that a worker keeps before it begins a new trie, pre-tokens whose
 #: counts it remembers, and bytes of text in a step.
 NODES = 300_000
-#: Characters of a pre-token in the trie; of a longer one only the states within reach of a piece are held on.
-DEPTH = 64
 KNOWN = 900_000
 STEP = 100_000
+#: Characters of a pre-token in the trie; of a longer one only the states within reach of a piece are held on.
+DEPTH = 64
 MARK = "▁"
 
 
