@@ -256,7 +256,8 @@ def _fit(net: Network, words: list[str], picked: np.ndarray, target: np.ndarray,
 def train(rows: list[tuple[str, int]], epochs: int = 4, seed: int = 7) -> Network:
     """Fit on (text, label) rows. Rows of one label only give a constant score."""
     net, r = Network(seed), np.random.default_rng(seed)
-    lists = [tokens(t) for t, _ in rows]
+    one: dict[str, str] = {}  # equal words are one string
+    lists = [[one.setdefault(w, w) for w in tokens(t)] for t, _ in rows]
     y = np.array([label for _, label in rows], np.int64)
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     seen: dict[str, list[int]] = {}
@@ -306,7 +307,8 @@ def train(rows: list[tuple[str, int]], epochs: int = 4, seed: int = 7) -> Networ
                 picked += list(own[hard])
                 target += [0] * len(hard)
     # place the threshold where whole training texts are told apart best
-    top = Scorer(net).scores([x for x, _ in rows])
+    scorer = Scorer(net)
+    top = np.concatenate([scorer.scores([x for x, _ in rows[i : i + 100]]) for i in range(0, len(rows), 100)])
     raw = np.log(np.clip(top, 1e-9, 1 - 1e-9) / (1 - np.clip(top, 1e-9, 1 - 1e-9)))
     cuts = np.unique(raw)
     cuts = np.concatenate(([cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]))
