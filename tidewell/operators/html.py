@@ -50,19 +50,26 @@ class Node:
         return next((n for n in self.walk() if n.tag == tag), None)
 
     def content(self) -> str:
-        return "".join(n.text for n in self.walk() if n.tag == "#text")
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            if n.tag == "#text":
+                out.append(n.text)
+            else:
+                stack.extend(reversed(n.children))
+        return "".join(out)
+
+    def within(self, root: Node) -> bool:
+        n = self
+        while n.parent is not None:
+            n = n.parent
+        return n is root
 
     def remove(self) -> None:
         if self.parent is not None:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
-    def copy(self) -> Node:
-        new = Node(self.tag, self.attrs, self.text)
-        for c in self.children:
-            new.add(c.copy())
-        return new
-
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
@@ -109,7 +116,7 @@ def parse(html: str) -> Node:
 
 
 def collapse(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+    return " ".join(text.split())
 
 
 def text_content(node: Node) -> str:
@@ -122,15 +129,19 @@ def text_content(node: Node) -> str:
 # ---- Markdown
 
 
+_HEADINGS = {f"h{k}": k for k in range(1, 7)}
+_BLANKS = re.compile(r"[ \t\r\n]+")
+_SIGNS = re.compile(r"([\\*_`\[\]])")
+_OPENING = re.compile(r"^(#{1,6} |[-+>]|=+|~~~)")
+_NUMBER = re.compile(r"^(\d+)\. ")
+
+
 def _level(node: Node) -> int:
-    found = [int(n.tag[1]) for n in node.walk() if re.fullmatch(r"h[1-6]", n.tag)]
-    return min(found, default=0)
+    return min((_HEADINGS[n.tag] for n in node.walk() if n.tag in _HEADINGS), default=0)
 
 
 def _escape(text: str) -> str:
-    text = re.sub(r"([\\*_`\[\]])", r"\\\1", text)
-    text = re.sub(r"^(#{1,6} |[-+>]|=+|~~~)", r"\\\1", text)
-    return re.sub(r"^(\d+)\. ", r"\1\\. ", text)
+    return _NUMBER.sub(r"\1\\. ", _OPENING.sub(r"\\\1", _SIGNS.sub(r"\\\1", text)))
 
 
 def _table(node: Node, inner: str) -> str:
@@ -159,7 +170,7 @@ def _table(node: Node, inner: str) -> str:
 def _render(node: Node, pre: bool = False) -> str:
     tag = node.tag
     if tag == "#text":
-        return node.text if pre else _escape(re.sub(r"[ \t\r\n]+", " ", node.text))
+        return node.text if pre else _escape(_BLANKS.sub(" ", node.text))
     if tag == "pre":
         code = node.content().rstrip("\n")
         kind = next((m[1] for n in node.walk() if (m := re.search(r"language-(\S+)", n.attrs.get("class", "")))), "")
@@ -191,8 +202,8 @@ def _render(node: Node, pre: bool = False) -> str:
         return f"![{alt}]({src}{title})" if src else ""
     if not inner.strip() and tag not in ("#document", "html", "body"):
         return "\n\n" if tag in BLOCK else (" " if inner else "")
-    if re.fullmatch(r"h[1-6]", tag):
-        return f"\n\n{'#' * int(tag[1])} {collapse(inner)}\n\n"
+    if tag in _HEADINGS:
+        return f"\n\n{'#' * _HEADINGS[tag]} {collapse(inner)}\n\n"
     if tag in ("em", "i", "strong", "b"):
         sign = "_" if tag in ("em", "i") else "**"
         lead, trail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
@@ -232,15 +243,16 @@ def to_markdown(node: Node) -> str:
 # ---- content
 
 
-def _is(node: Node, kind: str) -> bool:
-    return node.attrs.get("aria-label") == "skip to content" if kind == "@skip" else node.tag == kind
-
-
 def strip_clutter(root: Node) -> tuple[Node, str]:
     """The main (else body) element after removals, and a list of the texts removed."""
-    items = []
+    items, found = [], {kind: [] for kind in CLUTTER}
+    for n in root.walk():
+        if n.tag in found:
+            found[n.tag].append(n)
+        if n.attrs.get("aria-label") == "skip to content":
+            found["@skip"].append(n)
     for kind in CLUTTER:
-        for n in [x for x in root.walk() if _is(x, kind)]:
+        for n in [x for x in found[kind] if x.within(root)]:
             if t := n.content().strip():
                 items.append(f"<li>{t}</li>")
             n.remove()
@@ -276,8 +288,7 @@ def extract(html: str, url: str, fetched_at: str, origin: str | None = None, sco
     full = to_markdown(root)
     name = root.find("title")
     title = collapse(name.content()) if name is not None else ""
-    stripped = root.copy()
-    main, clutter = strip_clutter(stripped)
+    main, clutter = strip_clutter(root)  # all that needs the whole tree is done
     body = _article(main) or main
     text = to_markdown(body)
     head = f"---\nSource: {url}\nFetched: {fetched_at}\n---\n\n# {title}\n"
