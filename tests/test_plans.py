@@ -18,13 +18,6 @@ def read_columns(text):
     return [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<(.*?)>(?=\n|$)", text)]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_no_product_and_no_row_by_row_python(spark, name):
-    text = plan(catalog.QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "BatchEvalPython" not in text
-    assert "BroadcastNestedLoopJoin" not in text or name == "external_links"  # one row, an aggregate
-
-
 @pytest.mark.parametrize(
     "name,columns",
     [
