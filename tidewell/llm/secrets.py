@@ -58,8 +58,8 @@ def finder():
     def find(text: str) -> list[Span]:
         out: list[Span] = []
         ended = {"assign": 0, "access": 0, "token": 0, "hex": 0}
-        hits = sorted((last + 1 - size, kind) for last, (kind, size) in words.iter(folded(text)))
-        for at, kind in hits:
+        for last, (kind, size) in words.iter(folded(text)):  # no keyword holds another of its kind, so they come by start
+            at = last + 1 - size
             if at < ended[kind]:
                 continue
             if kind == "hex":
