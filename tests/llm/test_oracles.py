@@ -97,6 +97,23 @@ def test_written_tables_have_few_files_and_all_rows(spark):
     assert common.staged(many).count() == 5000
 
 
+def test_an_operator_empties_the_caches_of_others():
+    from functools import lru_cache
+
+    made = []
+    one, two = (lru_cache(lambda name=name: made.append(name)) for name in ("one", "two"))
+
+    def run(cache):
+        def step(batches):
+            cache()
+            yield from batches
+
+        return list(common.lean(step, cache)(iter([1, 2])))
+
+    assert run(one) == run(one) == run(two) == run(one) == [1, 2] and made == ["one", "two", "one"]
+    assert list(common.lean(iter)(iter([3]))) == [3] and not common._CACHES
+
+
 def test_written_stages_can_be_discarded(spark):
     kept = common.staged(spark.range(5))
     assert kept.count() == 5 and common.discard(spark) >= 1 and common.discard(spark) == 0

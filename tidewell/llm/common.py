@@ -113,10 +113,23 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``step``; what a task no longer holds goes back to the system at its end, not with the idle worker."""
+#: Caches that this worker process fills, each a function under ``lru_cache``.
+_CACHES: list = []
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step``; what a task no longer holds goes back to the system at its end, not with the idle worker.
+
+    ``cache`` is what ``step`` keeps for the tasks after it; the caches of
+    other operators, which ran in the same worker before, are emptied.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [c for c in _CACHES if c is not cache]:
+            other.cache_clear()
+            _CACHES.remove(other)
+        if cache is not None and cache not in _CACHES:
+            _CACHES.append(cache)
         yield from step(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

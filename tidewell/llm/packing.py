@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_text(docs).mapInArrow(lean(of), _PIECES)
+    return id_text(docs).mapInArrow(lean(of, chunk_encoder), _PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -163,4 +163,4 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
                 tokens.append(trie.counts(words))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return id_text(docs).mapInArrow(lean(of), "doc_id long, n_pretokens long, n_tokens long")
+    return id_text(docs).mapInArrow(lean(of, worker_trie), "doc_id long, n_pretokens long, n_tokens long")
