@@ -7,9 +7,13 @@ from tidewell.streaming import jobs
 
 
 def run(spark, df, name, mode, tmp_path):
+    # state that times out would ask for batches without data for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    ended = q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     q.stop()
+    assert ended
     return spark.table(name)
 
 
