@@ -114,6 +114,23 @@ def test_an_operator_empties_the_caches_of_others():
     assert list(common.lean(iter)(iter([3]))) == [3] and not common._CACHES
 
 
+def test_caches_are_emptied_in_the_workers_themselves(spark):
+    from tidewell.llm import packing, tokencount
+
+    table = spark.createDataFrame([(k, f"word{k} again") for k in range(6)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        for b in batches:
+            sizes = [packing.chunk_encoder.cache_info().currsize, tokencount.worker_trie.cache_info().currsize]
+            yield pa.RecordBatch.from_pydict({"n": pa.array(sizes, pa.int64())})
+
+    def left():
+        return [x["n"] for x in table.mapInArrow(held, "n long").collect()]
+
+    assert packing.pieces(table).count() == 6 and left() == [1, 0]  # the one worker of a single task is used again
+    assert tokencount.token_counts(table).count() == 6 and left() == [0, 1]
+
+
 def test_written_stages_can_be_discarded(spark):
     kept = common.staged(spark.range(5))
     assert kept.count() == 5 and common.discard(spark) >= 1 and common.discard(spark) == 0

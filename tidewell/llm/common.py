@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -125,20 +126,31 @@ def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other in [c for c in _CACHES if c is not cache]:
-            other.cache_clear()
-            _CACHES.remove(other)
-        if cache is not None and cache not in _CACHES:
-            _CACHES.append(cache)
+        _only(cache)
         yield from step(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        _give_back()
 
     return run
 
 
+def _only(cache) -> None:
+    """Empty all caches but ``cache``. A function of the module, so that it comes to workers by name and meets their own list."""
+    others = [c for c in _CACHES if c is not cache]
+    for other in others:
+        other.cache_clear()
+    if others:
+        _give_back()
+    _CACHES[:] = [] if cache is None else [cache]
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, whatever else the input carries."""
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
