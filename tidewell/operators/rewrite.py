@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from tidewell.functions.batches import small_batches
 from tidewell.functions.urls import BLOCKED, canonical_url, href_target
 
 #: The shapes of links that are rewritten, and the sign of those that lead away.
@@ -244,6 +245,7 @@ def markdown_links(md: Column, base: Column, origin: Column, scope: Column) -> C
     def links(m: pd.Series, b: pd.Series, o: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([page_links(x or "", *y) for x, *y in zip(m, b, o, s, strict=True)], dtype=object)
 
+    small_batches()
     return links(md, base, origin, scope)
 
 
@@ -273,6 +275,7 @@ def rewrite(docs: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
     128-bit hash of their url and columns, so equal rows count as one. Null
     documents stay null. Without ``columns`` it is markdown that is rewritten.
     """
+    small_batches()
     columns = columns or ("markdown",)
     base = F.col("base_url") if "base_url" in docs.columns else F.lit(None).cast("string")
     scope = F.col("scope") if "scope" in docs.columns else F.lit("/")

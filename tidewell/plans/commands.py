@@ -44,16 +44,15 @@ def crawl_site(pages: DataFrame, start: str, fetched_at: str, max_depth: int = 4
         known = robots.allowed(known.withColumns({"origin": urls.origin("url"), "path": urls.pathname("url")}), rules).where("allowed").drop("origin", "path", "allowed")
     fetched = crawl.staged(fetch.from_snapshot(known.select("url"), known, markdown_sources, render=render))
     docs = crawl.staged(scrape(known.select("url"), fetched, fetched_at, scope))
-    links = crawl.staged(_links(fetched, fetched_at, origin, scope))
+    links = crawl.staged(_links(fetched, origin, scope))
     first = begin if seeds is None else spark.createDataFrame([(urls.canonical_url(seeds),)], "url string")
     saved = crawl.bfs(first.select(urls.normalize_for_queue("url").alias("url")), links, max_depth, max_pages, docs)
     return _relinked(docs, saved, scope)
 
 
-def _links(fetched: DataFrame, fetched_at: str, origin: str, scope: str) -> DataFrame:
+def _links(fetched: DataFrame, origin: str, scope: str) -> DataFrame:
     """(url, target) links of fetched pages within an origin and scope."""
-    page = html.extract_content(F.col("content"), F.col("url"), F.lit(fetched_at), F.lit(scope))
-    from_html = fetched.where("source in ('html', 'rendered')").select("url", page["links"].alias("links"))
+    from_html = fetched.where("source in ('html', 'rendered')").select("url", html.content_links(F.col("content"), F.col("url"), F.lit(scope)).alias("links"))
     from_md = fetched.where("source = 'markdown'").select("url", rewrite.markdown_links(F.col("content"), F.col("url"), F.lit(origin), F.lit(scope)).alias("links"))
     return from_html.unionByName(from_md).select("url", F.explode("links").alias("target"))
 
@@ -108,7 +107,7 @@ def crawl_live(spark: SparkSession, start: str, fetched_at: str, options: CrawlO
         levels = level if levels is None else levels.unionByName(level)
         if depth == options.max_depth or saved >= options.max_pages:
             break
-        fresh = _links(level, fetched_at, origin, scope).select(F.col("target").alias("url")).distinct()
+        fresh = _links(level, origin, scope).select(F.col("target").alias("url")).distinct()
         pending = crawl.staged(fresh.join(seen, "url", "left_anti"))
         if pending.isEmpty():
             break
@@ -137,7 +136,7 @@ def scrape_one(pages: DataFrame, url: str, fetched_at: str, markdown_sources: Da
     known = pages.withColumn("url", urls.normalize_for_queue("url")).groupBy("url").agg(F.min("html").alias("html"))
     fetched = fetch.from_snapshot(todo, known, markdown_sources, render=render)
     docs = scrape(todo, fetched, fetched_at, at.path)
-    links = _links(fetched, fetched_at, f"{at.scheme}://{at.netloc}", at.path).groupBy("url").agg(F.array_sort(F.collect_set("target")).alias("links"))
+    links = _links(fetched, f"{at.scheme}://{at.netloc}", at.path).groupBy("url").agg(F.array_sort(F.collect_set("target")).alias("links"))
     return docs.join(links, "url", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
 
 

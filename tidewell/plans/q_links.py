@@ -192,5 +192,4 @@ def markdown_page_links(spark, sf_dir):
 @query(f"WITH {_LINKS} SELECT page_id, CAST(count(DISTINCT target) AS BIGINT) AS n_links FROM links GROUP BY page_id")
 def tree_link_counts(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    d = html.extract_content(F.col("html"), F.col("url"), F.lit(""))
-    return p.select("page_id", F.size(d["links"]).cast("bigint").alias("n_links")).where("n_links > 0")
+    return p.select("page_id", F.size(html.content_links(F.col("html"), F.col("url"))).cast("bigint").alias("n_links")).where("n_links > 0")
