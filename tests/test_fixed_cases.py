@@ -272,6 +272,15 @@ def test_clutter_and_content():
     assert "Menu" in d["llms_full_markdown"] and "Menu" not in d["markdown"]
 
 
+#: A title cut inside an entity: without its semicolon, &quot still is a quotation mark (HTML Standard, named character references).
+CUT = "<html><head><title>token = &quot</title></head><body><article><h1>token = &quot</h1><p>Said &quo; and &amp</p></article></body></html>"
+
+
+def test_cut_entities_in_extracted_content():
+    d = html.extract(CUT, "https://h.com/a", "t")
+    assert d["title"] == 'token = "' and '# token = "\n\nSaid &quo; and &' in d["llms_markdown"]
+
+
 # ---- scheduling
 
 
