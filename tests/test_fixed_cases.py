@@ -281,6 +281,10 @@ def test_cut_entities_in_extracted_content():
     assert d["title"] == 'token = "' and '# token = "\n\nSaid &quo; and &' in d["llms_markdown"]
 
 
+def test_cut_entities_in_markdown():
+    assert html.to_markdown(html.parse(CUT)) == 'token = "\n\n# token = "\n\nSaid &quo; and &'
+
+
 # ---- scheduling
 
 
