@@ -285,6 +285,12 @@ def test_cut_entities_in_markdown():
     assert html.to_markdown(html.parse(CUT)) == 'token = "\n\n# token = "\n\nSaid &quo; and &'
 
 
+def test_cut_entities_in_scraped_pages(spark):
+    pages = spark.createDataFrame([("https://h.com/a", CUT)], "url string, html string")
+    (one,) = commands.scrape_urls(pages, pages.select("url"), "t").collect()
+    assert '# token = "\n\nSaid &quo; and &' in one["markdown"]
+
+
 # ---- scheduling
 
 
