@@ -291,6 +291,11 @@ def test_cut_entities_in_scraped_pages(spark):
     assert '# token = "\n\nSaid &quo; and &' in one["markdown"]
 
 
+def test_cut_entities_in_stripped_pages():
+    main, _ = html.strip_clutter(html.parse(CUT))
+    assert html.collapse(main.content()) == 'token = "Said &quo; and &'
+
+
 # ---- scheduling
 
 
